@@ -1,4 +1,91 @@
-"""Queries of the llm problems and their SQL."""
+"""Queries of the llm problems over the recruiting tables, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.llm.canonical import map_to_list
+from millrace.llm.common_lines import repeated_lines, without_lines
+from millrace.llm.languages import language_segments, named_language, train_words
+from millrace.session import rows_within
+from millrace.sources.tables import table
+
+#: A list of countries is reference data; a longer one is refused rather than sent to every task.
+MOST_COUNTRY_WORDS = 100_000
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "vacancy", "id", "language", "description")
+    model = train_words(rows, "description", "language")
+    once = language_segments(rows, "id", "language", "description", model).dropDuplicates(["id", "first_line"])
+    return once.withColumnRenamed("id", "vacancy_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    own = Window.partitionBy("vacancy_id")
+    named = named_language(F.col("language"))
+    case = (F.min("lang_code").over(own) != F.max("lang_code").over(own)) | named.isNull() | (named != F.col("lang_code"))
+    return p4_segments(spark, d).withColumn("_case", case).where("_case").select("vacancy_id", "first_line", "lang_code")
+
+
+def place_entries(spark: SparkSession, d: str) -> DataFrame:
+    places = table(spark, d, "place", "id", "name", "country", "population")
+    named = places.select("name", F.col("id").alias("entry_id"), "country", "population")
+    also = table(spark, d, "place_alias", "alias_name", "place_id").join(places.drop("name"), F.col("place_id") == F.col("id"))
+    return named.unionByName(also.select(F.col("alias_name").alias("name"), F.col("id").alias("entry_id"), "country", "population"))
+
+
+def country_words(spark: SparkSession, d: str) -> dict[str, str]:
+    words = table(spark, d, "place", "country", "country_name", "subdivision").distinct()
+    if not rows_within(words, MOST_COUNTRY_WORDS):
+        raise ValueError(f"place has more than {MOST_COUNTRY_WORDS} country words")
+    return {w.lower(): row["country"] for row in words.collect() if row["country"] for w in row if w}
+
+
+def p5_mapped(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "normalized_vacancy_location", "location")
+    return map_to_list(typed, "location", place_entries(spark, d), country_words(spark, d))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "normalized_vacancy_location", "normalized_vacancy_id", "list_name", "pos", "location")
+    exact = table(spark, d, "place", F.col("name").alias("location")).distinct()
+    free = rows.join(exact, "location", "left_anti")
+    mapped = map_to_list(free, "location", place_entries(spark, d), country_words(spark, d)).withColumnRenamed("location", "_typed")
+    joined = free.join(mapped, F.col("location").eqNullSafe(F.col("_typed")), "left")
+    return joined.select("normalized_vacancy_id", "list_name", "pos", F.col("entry_id").alias("place_id"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "vacancy", "id", "company_id", "description")
+    slugs = table(spark, d, "company", F.col("id").alias("company_id"), "slug")
+    return repeated_lines(rows, "id", "company_id", "description", slugs, "slug").withColumnRenamed("id", "vacancy_id")
+
+
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "vacancy", "id", "description")
+    removed = p6_found(spark, d).withColumnRenamed("vacancy_id", "id")
+    return without_lines(rows, "id", "description", removed).select(F.col("id").alias("vacancy_id"), "description")
+
+
+QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
+
+_REPEATED = r"""
+WITH v AS (SELECT id, any_value(company_id) AS company_id, any_value(description) AS description FROM vacancy GROUP BY id),
+s AS (SELECT v.id, coalesce('s' || c.slug, 'b' || v.company_id) AS slug, v.description FROM v LEFT JOIN company c ON c.id = v.company_id),
+l AS (SELECT id, slug, unnest(string_split(description, chr(10))) AS line, generate_subscripts(string_split(description, chr(10)), 1) AS line_no FROM s),
+k AS (SELECT id, slug, line, line_no, lower(regexp_replace(line, '[^\p{L}]+', '', 'g')) AS letters FROM l),
+f AS (SELECT slug, letters FROM k WHERE length(letters) >= 25 GROUP BY slug, letters
+      HAVING count(DISTINCT id) >= 8 AND count(DISTINCT id) >= 0.1 * (SELECT count(*) FROM s s2 WHERE s2.slug = k.slug))
+"""
+
+ORACLES = {
+    "p6_found": _REPEATED + "SELECT k.id AS vacancy_id, k.line_no FROM k JOIN f USING (slug, letters)",
+    "p6_cleaned": _REPEATED + """, gone AS (SELECT k.id, k.line_no FROM k JOIN f USING (slug, letters)),
+        hit AS (SELECT DISTINCT id FROM gone)
+        SELECT v.id AS vacancy_id, CASE WHEN hit.id IS NULL THEN v.description ELSE coalesce(r.text, '') END AS description
+        FROM v LEFT JOIN hit ON hit.id = v.id LEFT JOIN (
+          SELECT l.id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text FROM l ANTI JOIN gone g ON g.id = l.id AND g.line_no = l.line_no GROUP BY l.id) r
+        ON r.id = v.id""",
+}
