@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from millrace.llm.canonical import map_to_list
 from millrace.llm.common_lines import repeated_lines, without_lines
 from millrace.llm.languages import language_segments, named_language, train_words
-from millrace.session import rows_within
+from millrace.llm.mixing import mixture, mixture_plan, mixture_shares
+from millrace.llm.near_duplicates import expanded_pairs, linked_groups, near_pairs
+from millrace.llm.packing import pack, sequences
+from millrace.llm.tokens import sized_texts
+from millrace.session import cut_lineage, rows_within
 from millrace.sources.tables import table
 
 #: A list of countries is reference data; a longer one is refused rather than sent to every task.
@@ -69,7 +73,78 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(rows, "id", "description", removed).select(F.col("id").alias("vacancy_id"), "description")
 
 
-QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
+LEAST_SIMILARITY, LEAST_LENGTH = 0.65, 200
+
+
+def near_vacancies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "vacancy", "id", "title", "location", "description").where(F.length("description") >= LEAST_LENGTH)
+    return near_pairs(rows, "id", ["title", "location", "description"], LEAST_SIMILARITY)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return expanded_pairs(*near_vacancies(spark, d)).select(F.col("a").alias("vacancy_id_a"), F.col("b").alias("vacancy_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return linked_groups(*near_vacancies(spark, d)).withColumnRenamed("key", "vacancy_id")
+
+
+def setting(spark: SparkSession, d: str, name: str) -> float:
+    """A setting of corpus_plan, a table of one row a setting."""
+    return table(spark, d, "corpus_plan", "setting", "amount").where(F.col("setting") == name).first()["amount"]
+
+
+def sized_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of all documents, written once: what follows reads them several times."""
+    return cut_lineage(sized_texts(table(spark, d, "documents", "doc_id", "source", "text"), "doc_id", "source", "text"))
+
+
+def _packed(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, int]:
+    capacity = int(setting(spark, d, name))
+    return pack(sized_documents(spark, d), "doc_id", "source", capacity), capacity
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, "pack_capacity")[0].where("piece = 1").select("doc_id")
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, "pack_capacity")[0]
+
+
+def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(*_packed(spark, d, "pack_capacity"))
+
+
+def p8_sequences_small(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(*_packed(spark, d, "pack_capacity_small"))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = sized_documents(spark, d)
+    targets = table(spark, d, "mix_target", "source", "weight", "max_repeats")
+    return sized, mixture_plan(sized, "source", targets, setting(spark, d, "mix_budget_share"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_shares(_mixture(spark, d)[1]).where("short").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_shares(_mixture(spark, d)[1])
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    sized, plan = _mixture(spark, d)
+    return mixture(sized, "doc_id", "source", plan)
+
+
+QUERIES = {
+    "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_cleaned": p6_cleaned,
+    "p7_found": p7_found, "p7_groups": p7_groups,
+    "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_sequences": p8_sequences, "p8_sequences_small": p8_sequences_small,
+    "p9_found": p9_found, "p9_shares": p9_shares, "p9_documents": p9_documents,
+}
 
 _REPEATED = r"""
 WITH v AS (SELECT id, any_value(company_id) AS company_id, any_value(description) AS description FROM vacancy GROUP BY id),
