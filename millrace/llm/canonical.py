@@ -42,35 +42,43 @@ def folded(text: str) -> str:
     return " ".join(SHORT_FORMS.get(w, w) for w in plain.split())
 
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Unrestricted Damerau-Levenshtein distance; above ``most``, some number above it."""
-    if a == b:
-        return 0
-    la, lb = len(a), len(b)
-    if most is not None and abs(la - lb) > most:
-        return most + 1
-    far = la + lb
+def edit_distance(a: str, b: str) -> int:
+    """Unrestricted Damerau-Levenshtein distance."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    lb = len(b)
+    columns = range(1, lb + 1)
+    far = len(a) + lb
     last: dict[str, int] = {}
+    shared = set(a) & set(b)
     rows = [[far] * (lb + 2), [far, *range(lb + 1)]]
-    for i in range(1, la + 1):
-        x, own = a[i - 1], [far, i] + [0] * lb
-        above, match = rows[i], 0
-        least = i
-        for j in range(1, lb + 1):
+    for i, x in enumerate(a, 1):
+        above = rows[i]
+        own = [far, i]
+        cost, match = i, 0
+        for j in columns:
             y = b[j - 1]
-            k, m = last.get(y, 0), match
+            diagonal, up = above[j], above[j + 1]
+            best = diagonal if x == y else 1 + (diagonal if diagonal < up else up)
+            if best > cost + 1:
+                best = cost + 1
+            if match and y in shared:
+                k = last.get(y, 0)
+                if k:
+                    swap = rows[k][match] + i - k + j - match - 1
+                    if swap < best:
+                        best = swap
             if x == y:
-                cost, match = above[j], j
-            else:
-                cost = 1 + min(above[j], above[j + 1], own[j])
-            swap = rows[k][m] + (i - k - 1) + 1 + (j - m - 1)
-            own[j + 1] = cost = min(cost, swap)
-            least = min(least, cost)
+                match = j
+            cost = best
+            own.append(best)
         rows.append(own)
         last[x] = i
-        if most is not None and least > most + 1:  # a transposition reaches back one row
-            return most + 1
-    return rows[-1][-1]
+    return cost
 
 
 @dataclass
@@ -97,13 +105,18 @@ class Tree:
 
     def within(self, name: str, most: int) -> list[tuple[int, str, list]]:
         """All (distance, name, payloads) with a distance of at most ``most``."""
-        found, stack = [], [0] if self.nodes else []
+        found, stack, letters = [], [0] if self.nodes else [], set(name)
         while stack:
             word, payloads, children = self.nodes[stack.pop()]
+            # each letter that only one of two words has takes an edit; below a leaf nothing is left to prune
+            if not children and (abs(len(word) - len(name)) > most or len(letters.difference(word)) > most):
+                continue
             d = edit_distance(name, word)
             if d <= most:
                 found.append((d, word, payloads))
-            stack += [child for far, child in children.items() if d - most <= far <= d + most]
+            if children:
+                low, high = d - most, d + most
+                stack += [child for far, child in children.items() if low <= far <= high]
         return found
 
 

@@ -11,6 +11,7 @@ from millrace.llm.languages import language_segments, named_language, train_word
 from millrace.llm.mixing import mixture, mixture_plan, mixture_shares
 from millrace.llm.near_duplicates import expanded_pairs, linked_groups, near_pairs
 from millrace.llm.packing import pack, sequences
+from millrace.llm.sentences import sentence_units, train_on
 from millrace.llm.tokens import sized_texts
 from millrace.session import cut_lineage, rows_within
 from millrace.sources.tables import table
@@ -139,11 +140,16 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return mixture(sized, "doc_id", "source", plan)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return sentence_units(rows, "doc_id", "text", train_on(rows, "text"))
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_cleaned": p6_cleaned,
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_sequences": p8_sequences, "p8_sequences_small": p8_sequences_small,
-    "p9_found": p9_found, "p9_shares": p9_shares, "p9_documents": p9_documents,
+    "p9_found": p9_found, "p9_shares": p9_shares, "p9_documents": p9_documents, "p10_found": p10_found,
 }
 
 _REPEATED = r"""
