@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from millrace.plans import found
+from millrace.plans import found, records, texts
 
-QUERIES = {**found.QUERIES}
-ORACLES = {**found.ORACLES}
+QUERIES = {**found.QUERIES, **texts.QUERIES, **records.QUERIES}
+ORACLES = {**found.ORACLES, **texts.ORACLES, **records.ORACLES}
