@@ -136,7 +136,7 @@ def candidates(flow: str) -> Iterator[Candidate]:
                 continue
         if kind == ELLIPSIS and (case != "u" or _case(last) == "o"):
             continue
-        if closed and _case(last) == "o":  # said by someone: scripts without case don't tell what follows
+        if closed and ("o" in (_case(last), case) or run[-1] in FULL + "！？؟"):  # said by someone: scripts without case don't tell what follows
             continue
         if kind == PERIOD and len(before) == 1 and len(word) == 1 and case == "u" and before.isalpha() and flow[k + len(spaces) + 1 : k + len(spaces) + 2] == ".":
             continue  # initials
@@ -221,7 +221,10 @@ class Model:
 
 
 def _token(before: str) -> str:
+    """What a token before a mark is counted as: numbers are one type, single letters are another."""
     bare = before.lower()
+    if len(bare) == 1 and bare.isalpha():
+        return "~letter"
     return "9" if bare.replace(",", "").replace(".", "").isdigit() else bare
 
 
