@@ -46,12 +46,9 @@ def repeated_lines(
 
     counted = lines.select("_doc", "_board", "_hash").distinct().groupBy("_board", "_hash").agg(F.count(F.lit(1)).alias("_n"))
     grouped = counted.join(board_totals, F.col("_board").eqNullSafe(F.col("_tboard"))).select("_board", "_hash", "_n", "_group", "_total")
-    frequent = (
-        grouped.groupBy("_group", "_hash").agg(F.sum("_n").alias("_all"), F.max("_total").alias("_of"), F.collect_set(F.struct("_board")).alias("_boards"))
-        .where((F.col("_all") >= least_documents) & (F.col("_all") >= F.lit(least_share) * F.col("_of")))
-        .select(F.explode("_boards").alias("_b"), F.col("_hash").alias("_fhash"))
-        .select(F.col("_b._board").alias("_fboard"), "_fhash")
-    )
+    enough = (F.col("_all") >= least_documents) & (F.col("_all") >= F.lit(least_share) * F.col("_of"))
+    keys = grouped.groupBy("_group", "_hash").agg(F.sum("_n").alias("_all"), F.max("_total").alias("_of")).where(enough).select("_group", "_hash")
+    frequent = grouped.join(keys, ["_group", "_hash"]).select(F.col("_board").alias("_fboard"), F.col("_hash").alias("_fhash"))
     on = F.col("_board").eqNullSafe(F.col("_fboard")) & (F.col("_hash") == F.col("_fhash"))
     return lines.join(frequent, on, "left_semi").select(F.col("_doc").alias(doc), "line_no").distinct()
 

@@ -12,9 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import by_size
+
 # ISO 639-1 codes with the English names of their languages, in natural order.
 LANGUAGE_NAMES = {
     "ar": "arabic", "bg": "bulgarian", "bn": "bengali", "ca": "catalan", "cs": "czech", "da": "danish", "de": "german", "el": "greek",
@@ -105,8 +108,6 @@ def train_words(labelled: DataFrame, text: str, label: str, seed: int = 1) -> di
         yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["lang", "word", "n"])
 
     words = rows.where(pick).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     best = words.where("n > 1").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_r") <= MOST_WORDS)
     model: dict[str, dict[str, int]] = {}
     for lang, word, n in best.select("lang", "word", "n").collect():
@@ -232,14 +233,18 @@ def language_segments(df: DataFrame, key: str, label: str, text: str, counts: di
     model = df.sparkSession.sparkContext.broadcast(counts)
     kind = df.schema[key].dataType.simpleString()
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value)
-        for frame in frames:
-            keys, labels, texts = (frame[c].tolist() for c in ("_key", "_label", "_text"))
-            for a in range(0, len(texts), 2000):
-                rows = labeller.segments(texts[a : a + 2000])
-                yield pd.DataFrame([(keys[a + i], labels[a + i], *rest) for i, *rest in rows], columns=["_key", "_label", "first_line", "lang_code", "confidence"])
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            rows = [(part.start + i, *rest) for part in by_size(texts) for i, *rest in labeller.segments(texts[part])]
+            at, first, lang, sure = zip(*rows, strict=True) if rows else ((), (), (), ())
+            owner = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(first, pa.int32()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())],
+                names=["_key", "_label", "first_line", "lang_code", "confidence"],
+            )
 
     narrow = df.select(F.col(key).alias("_key"), F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"))
-    found = narrow.mapInPandas(find, f"_key {kind}, _label string, first_line int, lang_code string, confidence double")
+    found = narrow.mapInArrow(find, f"_key {kind}, _label string, first_line int, lang_code string, confidence double")
     return found.withColumnsRenamed({"_key": key, "_label": label})

@@ -79,14 +79,14 @@ def pack(sized: DataFrame, key: str, source: str, capacity: int, apart: Iterable
     groups = max(1, -(-items.count() // group_items))
     starts = F.sequence(F.lit(0), ((whole - 1) / capacity).cast("long"))
     pieces = (
-        items.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source"), "cluster", "n_tokens", F.explode(starts).alias("piece"))
+        items.select(F.col(key).cast("string").alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source"), "cluster", "n_tokens", F.explode(starts).alias("piece"))
         .withColumn("first_token", F.col("piece") * capacity)
         .withColumn("size", F.least(F.lit(capacity), whole - F.col("first_token")))
         .withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
     )
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_key", "piece"])
+        frame = frame.sort_values(["_key", "piece"], na_position="first")
         names = {s: i for i, s in enumerate(sorted(set(frame["_source"])))}
         barred: dict[int, int] = {}
         for a, b in pairs:
@@ -97,8 +97,8 @@ def pack(sized: DataFrame, key: str, source: str, capacity: int, apart: Iterable
         frame["sequence_id"] = [(int(g) << 40) + w for g, w in zip(frame["_group"], where, strict=True)]
         return frame[["sequence_id", "_key", "piece", "first_token", "size"]]
 
-    packed = pieces.groupBy("_group").applyInPandas(place, f"sequence_id long, _key {kind}, piece long, first_token long, size long")
-    return packed.withColumnsRenamed({"_key": key, "size": "n_tokens"})
+    packed = pieces.groupBy("_group").applyInPandas(place, "sequence_id long, _key string, piece long, first_token long, size long")
+    return packed.select("sequence_id", F.col("_key").cast(kind).alias(key), "piece", "first_token", F.col("size").alias("n_tokens"))
 
 
 def sequences(packed: DataFrame, capacity: int) -> DataFrame:

@@ -15,12 +15,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample, in documents; it is picked by the hash of the text.
-MOST_TRAINING_DOCUMENTS = 4_000
+#: Bounds of the training sample, in documents and characters; it is picked by the hash of the text.
+MOST_TRAINING_DOCUMENTS, MOST_TRAINING_CHARACTERS = 4_000, 20_000_000
 #: Line lengths between which a text can be one whose lines were broken at a fixed width.
 LEAST_WIDTH, MOST_WIDTH = 60, 80
 
@@ -358,9 +358,13 @@ def units_of(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 
 def train_on(df: DataFrame, text: str) -> Model:
-    """A model from at most about MOST_TRAINING_DOCUMENTS documents, picked by the hash of their text."""
-    rows = df.select(F.col(text).alias("_text")).where("length(trim(_text)) > 0")
-    share = min(1.0, MOST_TRAINING_DOCUMENTS / max(1, rows.count()))
+    """A model from a sample within both bounds (about), of whole documents picked by the hash of their text.
+
+    A document that alone has more than a hundredth of the characters allowed is no part of it.
+    """
+    rows = df.select(F.col(text).alias("_text")).where(f"length(trim(_text)) > 0 and length(_text) <= {MOST_TRAINING_CHARACTERS // 100}")
+    documents, characters = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    share = min(1.0, MOST_TRAINING_DOCUMENTS / max(1, documents), MOST_TRAINING_CHARACTERS / max(1, characters))
     pick = F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20))
     return train([r[0] for r in rows.where(pick).orderBy(F.xxhash64("_text"), "_text").collect()])
 
@@ -376,15 +380,12 @@ def sentence_units(df: DataFrame, key: str, text: str, model: Model) -> DataFram
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys, starts, ends = [], [], []
-            for k, body in zip(frame["_key"].tolist(), frame["_text"].tolist(), strict=True):
-                for s, e in units_of(body, shared.value):
-                    keys.append(k)
-                    starts.append(s)
-                    ends.append(e)
-            yield pd.DataFrame({"_key": keys, "start_at": starts, "end_at": ends})
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [units_of(body, shared.value) for body in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            ends = np.array([x for units in found for x in units], np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["_key", "start_at", "end_at"])
 
     narrow = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return narrow.mapInPandas(split, f"_key {kind}, start_at int, end_at int").withColumnRenamed("_key", key)
+    return narrow.mapInArrow(split, f"_key {kind}, start_at int, end_at int").withColumnRenamed("_key", key)

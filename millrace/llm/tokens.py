@@ -9,10 +9,12 @@ import os
 from collections.abc import Callable, Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import by_size
+
 #: Where the vocabulary files are, and the one that sizes are counted in.
 VOCABULARIES = os.environ.get("MILLRACE_VOCABULARIES", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -51,18 +53,16 @@ def sized_texts(df: DataFrame, key: str, source: str, text: str, path: str | Non
     path = path or os.path.join(VOCABULARIES, VOCABULARY)
     kind = df.schema[key].dataType.simpleString()
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(path)
-        for frame in frames:
-            texts = [t or "" for t in frame["_text"].tolist()]
-            digests = [hashlib.blake2b(" ".join(t.lower().split()).encode(), digest_size=8).digest() for t in texts]
-            yield pd.DataFrame({
-                "_key": frame["_key"], "_source": frame["_source"], "n_tokens": counter(texts),
-                "cluster": [int.from_bytes(x, "little", signed=True) for x in digests],
-            })
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            sizes = [n for part in by_size(texts) for n in counter(texts[part])]
+            digests = [int.from_bytes(hashlib.blake2b(" ".join(t.lower().split()).encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], names=["_key", "_source", "n_tokens", "cluster"])
 
     narrow = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"))
-    sized = narrow.mapInPandas(count, f"_key {kind}, _source string, n_tokens long, cluster long")
+    sized = narrow.mapInArrow(count, f"_key {kind}, _source string, n_tokens long, cluster long")
     return sized.withColumnsRenamed({"_key": key, "_source": source})
 
 
