@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
@@ -40,7 +40,7 @@ def snapshot_changes(
 
     Plan: one aggregation to a row (key, snapshot, hash), then a full outer join of that result
     with itself, each row renumbered to the snapshot that follows its own. Only the key and
-    16 bytes of state are shuffled. The list of snapshot numbers has one row a snapshot.
+    16 bytes of state are shuffled. The snapshot numbers, one a delivery, are one array.
     """
     state = (
         df.select(F.col(snapshot).alias("_s"), *(v.alias(k) for k, v in keys.items()), row_hash(compared).alias("_h"), F.col(updated).alias("_u"))
@@ -48,15 +48,11 @@ def snapshot_changes(
         .groupBy("_s", *keys)
         .agg(F.max(F.struct("_u", "_h")).getField("_h").alias("_h"))
     )
-    follow = (
-        state.select("_s").distinct()
-        .select(F.col("_s").alias("_own"), F.lead("_s").over(Window.orderBy("_s")).alias("_next"), F.lag("_s").over(Window.orderBy("_s")).alias("_last"))
-    )
-    small = F.broadcast(follow)
-    now = state.join(small, F.col("_s") == F.col("_own")).where(F.col("_last").isNotNull()).select("_s", *keys, F.col("_h").alias("_now"))
+    numbers = df.where(F.col(snapshot).isNotNull()).agg(F.sort_array(F.collect_set(snapshot))).scalar()
+    place = F.array_position(numbers, F.col("_s")).cast("int")
+    now = state.where(place > 1).select("_s", *keys, F.col("_h").alias("_now"))
     before = (
-        state.join(small, F.col("_s") == F.col("_own"))
-        .where(F.col("_next").isNotNull())
+        state.withColumn("_next", F.get(numbers, place)).where(F.col("_next").isNotNull())
         .select(F.col("_next").alias("_bs"), *(F.col(k).alias(f"_b_{k}") for k in keys), F.col("_h").alias("_before"))
     )
     on = F.col("_s") == F.col("_bs")
