@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def rows_within(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no more than it needs to tell."""
     return len(df.limit(bound + 1).select().take(bound + 1)) <= bound
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, unless the environment's PYTHONPATH already does.
+
+    The package goes as one archive through the context, once.
+    """
+    import millrace
+
+    package = os.path.dirname(os.path.abspath(millrace.__file__))
+    context = spark.sparkContext
+    on_path = os.path.dirname(package) in [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if on_path or not os.path.isdir(package) or getattr(context, "_millrace_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="millrace-")
+    archive = shutil.make_archive(os.path.join(folder, "millrace_package"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._millrace_shipped = True
