@@ -166,7 +166,9 @@ def flows_of(text: str, weights: np.ndarray | None, seen: list | None = None) ->
             lines.append((a, b, bool(_LISTED.match(text, a)), m.end()))
     if not lines:
         return []
-    width = max((b - a for a, b, _, _ in lines if text.find("://", a, b) < 0), default=0)
+    # the longest line that another one of its paragraph follows; an address can't be broken
+    followed = zip(lines, lines[1:])
+    width = max((b - a for (a, b, listed, stop), (c, _, marked, _) in followed if c == stop + 1 and not listed and not marked and text.find("://", a, b) < 0), default=0)
     flows = []
     start, end, listed, stop = lines[0]
     for a, b, marked, after in lines[1:]:
