@@ -6,22 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def silent_gaps(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """``key, gap_start, gap_end, gap_seconds`` of each pause above ``seconds`` between events of a key."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(at))
-    gap = (F.unix_micros(F.col("gap_end").cast("timestamp")) - F.unix_micros(F.col("gap_start").cast("timestamp"))) / 1e6
-    return df.select(key, before.alias("gap_start"), F.col(at).alias("gap_end")).withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds)
-
-
-def spans(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
-    """``key, state, first_at, last_at, n``: runs of rows of a key in which a state stays the same."""
-    own = Window.partitionBy(key).orderBy(*order)
-    changed = F.when(F.lag(state).over(own).eqNullSafe(F.col(state)) & F.lag(F.lit(1)).over(own).isNotNull(), 0).otherwise(1)
-    run = F.sum("_changed").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        df.withColumn("_changed", changed).withColumn("_run", run).groupBy(key, "_run", state)
-        .agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"), F.count(F.lit(1)).alias("n")).drop("_run")
-    )
+def _seconds(later: Column, earlier: Column) -> Column:
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1e6
+
+
+def silent_gaps(df: DataFrame, key: str, at: str, seconds: int, bucket: str = "day") -> DataFrame:
+    """``key, gap_start, gap_end, gap_seconds`` of each pause above ``seconds`` between events of a key.
+
+    Events are ordered within buckets of time, so a key with most events is spread over tasks; the
+    pauses across buckets come from the first and last event of each, in order of the buckets.
+    """
+    rows = df.where(F.col(at).isNotNull()).select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.date_trunc(bucket, at).alias("_b"))
+    inside = rows.select("_k", F.lag("_t").over(Window.partitionBy("_k", "_b").orderBy("_t")).alias("gap_start"), F.col("_t").alias("gap_end"))
+    ends = rows.groupBy("_k", "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    across = ends.select("_k", F.lag("_last").over(Window.partitionBy("_k").orderBy("_b")).alias("gap_start"), F.col("_first").alias("gap_end"))
+    gaps = inside.unionByName(across).withColumn("gap_seconds", _seconds(F.col("gap_end"), F.col("gap_start")))
+    return gaps.where(F.col("gap_seconds") > seconds).withColumnRenamed("_k", key)
+
+
+def spans(df: DataFrame, key: str, at: str, tie: str, state: str, bucket: str = "day") -> DataFrame:
+    """``key, state, first_at, last_at, n``: runs of rows of a key, in order of ``at`` and ``tie``, in which a state stays the same.
+
+    As in silent_gaps, rows are ordered within buckets of time; what a bucket's first row follows,
+    and how many runs began before it, comes from one row a bucket.
+    """
+    rows = df.where(F.col(at).isNotNull()).select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.col(tie).alias("_i"), F.struct(F.col(state).alias("s")).alias("_s"), F.date_trunc(bucket, at).alias("_b"))
+    inside, buckets = Window.partitionBy("_k", "_b").orderBy("_t", "_i"), Window.partitionBy("_k").orderBy("_b")
+    marked = rows.withColumn("_new", F.when(F.lag("_s").over(inside).isNull(), 0).when(F.lag("_s").over(inside) == F.col("_s"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = rows.groupBy("_k", "_b").agg(F.min(F.struct("_t", "_i", "_s"))["_s"].alias("_first"), F.max(F.struct("_t", "_i", "_s"))["_s"].alias("_last"))
+    runs = marked.groupBy("_k", "_b").agg(F.sum("_new").alias("_more"))
+    opens = edges.join(runs, ["_k", "_b"]).withColumn("_opens", F.when(F.lag("_last").over(buckets) == F.col("_first"), 0).otherwise(1))
+    before = F.coalesce(F.sum(F.col("_more") + F.col("_opens")).over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_opens")
+    offsets = opens.select(F.col("_k").alias("_ok"), F.col("_b").alias("_ob"), before.alias("_before"))
+    joined = marked.join(offsets, F.col("_k").eqNullSafe(F.col("_ok")) & (F.col("_b") == F.col("_ob"))).withColumn("_run", F.col("_run") + F.col("_before"))
+    grouped = joined.groupBy("_k", "_run").agg(F.first("_s")["s"].alias(state), F.min("_t").alias("first_at"), F.max("_t").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    return grouped.select(F.col("_k").alias(key), state, "first_at", "last_at", "n")
 
 
 def minute_grid(df: DataFrame, key: str, at: str, value: str) -> DataFrame:

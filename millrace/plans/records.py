@@ -154,7 +154,7 @@ def user_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_spans(spark: SparkSession, d: str) -> DataFrame:
-    return ev.spans(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type").where("n > 1")
+    return ev.spans(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", "event_type").where("n > 1")
 
 
 def last_events(spark: SparkSession, d: str) -> DataFrame:

@@ -76,7 +76,11 @@ def test_events(spark):
     data = [("k", D(2026, 1, 1, 0, 0, 5), "a", 1), ("k", D(2026, 1, 1, 0, 1, 5), "a", 2), ("k", D(2026, 1, 1, 0, 4, 6), "b", 3)]
     df = spark.createDataFrame(data, "k string, t timestamp, s string, v int")
     assert [r.gap_seconds for r in events.silent_gaps(df, "k", "t", 180).collect()] == [181.0]
-    assert [(r.s, r.n) for r in events.spans(df, "k", ["t"], "s").orderBy("first_at").collect()] == [("a", 2), ("b", 1)]
+    assert [(r.s, r.n) for r in events.spans(df, "k", "t", "v", "s").orderBy("first_at").collect()] == [("a", 2), ("b", 1)]
+    days = [("k", D(2026, 1, d, h), s, d * 24 + h) for d, h, s in [(1, 1, "a"), (1, 5, None), (1, 6, None), (2, 1, None), (4, 1, "a"), (4, 2, "a"), (5, 1, "a"), (5, 2, "b")]]
+    over = spark.createDataFrame([*days, (None, D(2026, 1, 1), "x", 1), ("k", None, "x", 1)], "k string, t timestamp, s string, v int")
+    assert [(r.s, r.n) for r in events.spans(over, "k", "t", "v", "s").where("k is not null").orderBy("first_at").collect()] == [("a", 1), (None, 3), ("a", 3), ("b", 1)]
+    assert [r.gap_seconds / 3600 for r in events.silent_gaps(over, "k", "t", 18 * 3600).orderBy("gap_end").collect()] == [19.0, 48.0, 23.0]
     assert [r.v for r in events.minute_grid(df, "k", "t", "v").orderBy("minute").collect()] == [1, 2, 2, 2, 3]
     line = spark.createDataFrame([("2026-01-01T00:00:00Z main BOARD slug=a n=3",), ("no log",)], "l string").select(*events.log_fields(F.col("l"))).collect()
     assert line[0][1] == "BOARD" and line[0][2] == {"slug": "a", "n": "3"} and line[1][0] is None and line[1][2] == {}
