@@ -31,3 +31,18 @@ def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) ->
 
 def rate(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
+
+
+def match_score(matched: Column, asked: Column, shortfall: Column, unknown: Column, thin: float = 10.0, per_level: float = 15.0, per_unknown: float = 10.0) -> Column:
+    """100 times the share of asked items that match, less penalties, at least 0; 0 where nothing is asked.
+
+    Fewer than 5 asked items cost ``thin``, each level short costs ``per_level``, an unknown level less.
+    """
+    share = F.lit(100.0) * matched / F.when(asked > 0, asked)
+    penalty = F.when(asked < 5, thin).otherwise(0.0) + F.coalesce(shortfall, F.lit(0)) * per_level + F.when(unknown, per_unknown).otherwise(0.0)
+    return F.coalesce(F.greatest(F.lit(0.0), share - penalty), F.lit(0.0))
+
+
+def coin(ident: Column, seed: int) -> Column:
+    """A seeded coin: the order in which two answers are shown."""
+    return F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(2)) == 1

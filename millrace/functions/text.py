@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EDGE = r"[\p{L}\p{N}]"
 
@@ -167,3 +169,31 @@ def is_heading(line: Column, nouns: tuple[str, ...] = ("requirements", "benefits
 def title_parts(title: Column) -> Column:
     """Parts of a title between commas, semicolons, bars, brackets, colons and spaced dashes."""
     return F.filter(F.transform(F.split(title, r"[,;|()\[\]{}:]|\s[-–—]\s"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+# Letters without a decomposition and what they are folded to.
+UNDECOMPOSED = {"ł": "l", "ø": "o", "đ": "d", "ı": "i", "ß": "ss", "æ": "ae"}
+
+
+@F.pandas_udf(T.StringType())
+def _without_marks(texts: pd.Series) -> pd.Series:
+    plain = texts.str.lower().str.normalize("NFD").str.replace(r"[̀-ͯ'’]", "", regex=True)
+    for letter, folded_letter in UNDECOMPOSED.items():
+        plain = plain.str.replace(letter, folded_letter, regex=False)
+    return plain
+
+
+def accent_folded(text: Column) -> Column:
+    """Lower case without marks and apostrophes; Spark has no decomposition, so this is an Arrow function."""
+    return _without_marks(text)
+
+
+def guessed_items(line: Column, starts: tuple[str, ...] = ("You", "We", "Experience", "Ability", "Knowledge", "Build", "Work", "Lead")) -> Column:
+    """Items run together on one line: cut at a blank between a small letter, digit or bracket and a word that items begin with."""
+    return F.filter(F.split(line, rf"(?<=[\p{{Ll}}\p{{N}})])\s+(?=(?:{'|'.join(starts)})\b)"), lambda x: x != "")
+
+
+def first_reason(text: Column, reasons: dict[str, str]) -> Column:
+    """The reason whose pattern matches earliest in a text; of equals the first listed; null if none matches."""
+    at = F.array(*(F.struct(F.when(text.rlike(p), F.length(F.regexp_extract(text, rf"(?s)^(.*?)(?:{p})", 1))).alias("at"), F.lit(i).alias("i"), F.lit(r).alias("r")) for i, (r, p) in enumerate(reasons.items())))
+    return F.array_min(F.filter(at, lambda x: x["at"].isNotNull()))["r"]

@@ -72,3 +72,9 @@ def bootstrap_interval(df: DataFrame, value: str, resamples: int, seed: int, lev
 def confusion(df: DataFrame, expected: str, found: str, states: Sequence[str]) -> DataFrame:
     """A row for each expected state, with the number of each found one."""
     return df.groupBy(expected).pivot(found, list(states)).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def label_differences(expected: DataFrame, given: DataFrame) -> DataFrame:
+    """Rows of either side that the other lacks, repeats counted, with ``side`` missing or extra."""
+    missing, extra = expected.exceptAll(given), given.exceptAll(expected)
+    return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import titles as T
-from millrace.functions.numbers import wilson
+from millrace.functions.numbers import match_score, wilson
 from millrace.functions.text import bag_of_words, clean_title
 from millrace.operators.names import first_mentions, name_candidates, word_evidence, words_nearby
+from millrace.operators.sampling import label_differences
 from millrace.sources.tables import table
 
 
@@ -112,9 +113,29 @@ def value_latency(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def top_departments(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report: the 20 commonest pairs of department and commitment, then by name."""
+    rows = table(spark, d, "vacancy", "department", "commitment").where("department is not null and commitment is not null")
+    return rows.groupBy("department", "commitment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "department", "commitment").limit(20)
+
+
+def level_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Openings whose recorded level is other than the one their years give."""
+    nv = table(spark, d, "normalized_vacancy", "vacancy_id", "seniority_level", "required_years")
+    expected = nv.select("vacancy_id", T.level_of(F.lit(None).cast("string"), F.col("required_years")).alias("level")).where("level is not null")
+    return label_differences(expected, nv.select("vacancy_id", F.col("seniority_level").alias("level")).where("level is not null"))
+
+
+def match_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How many of three modes an opening offers, as a score."""
+    nv = table(spark, d, "normalized_vacancy", "vacancy_id", "work_modes", "seniority_level").where("work_modes is not null")
+    score = match_score(F.size("work_modes"), F.lit(6), F.when(F.col("seniority_level") == "JUNIOR", 1), F.col("seniority_level").isNull())
+    return nv.select("vacancy_id", F.round(score, 4).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     title_breakdown, role_assignment, years_of_experience, levels, mode_evidence, title_coverage, title_profiles, title_fragments, level_series,
-    new_names, near_words, first_named, mode_always_known, value_latency,
+    new_names, near_words, first_named, mode_always_known, value_latency, top_departments, level_differences, match_scores,
 )}
 
 _V = "WITH v AS (SELECT id, any_value(ats) AS ats, any_value(title) AS title, any_value(location) AS location, any_value(department) AS department, any_value(description) AS description, any_value(workplace_type) AS workplace_type FROM vacancy GROUP BY id)"
@@ -129,6 +150,12 @@ def _modes(column: str) -> str:
 
 
 ORACLES = {
+    "top_departments": "SELECT department, commitment, count(*) AS n FROM vacancy WHERE department IS NOT NULL AND commitment IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20",
+    "level_differences": """WITH e AS (SELECT vacancy_id, CASE WHEN required_years <= 1 THEN 'ENTRY' WHEN required_years = 2 THEN 'JUNIOR' WHEN required_years <= 4 THEN 'MID' WHEN required_years <= 7 THEN 'SENIOR' WHEN required_years >= 8 THEN 'STAFF' END AS level FROM normalized_vacancy),
+        x AS (SELECT * FROM e WHERE level IS NOT NULL), g AS (SELECT vacancy_id, seniority_level AS level FROM normalized_vacancy WHERE seniority_level IS NOT NULL)
+        SELECT *, 'missing' AS side FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM g) UNION ALL SELECT *, 'extra' AS side FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM x)""",
+    "match_scores": """SELECT vacancy_id, round(greatest(0, 100.0 * len(work_modes) / 6 - CASE WHEN seniority_level = 'JUNIOR' THEN 15 ELSE 0 END - CASE WHEN seniority_level IS NULL THEN 10 ELSE 0 END)::DOUBLE, 4) AS score
+        FROM normalized_vacancy WHERE work_modes IS NOT NULL""",
     "years_of_experience": _V + ", " + _YEARS + " SELECT id, years FROM z",
     "levels": _V + ", " + _YEARS + r""" SELECT coalesce(CASE WHEN regexp_matches(title, '(?i)\b(?:senior|sr)\b') THEN 'SENIOR' WHEN regexp_matches(title, '(?i)\b(?:junior|jr)\b') THEN 'JUNIOR' END,
         CASE WHEN years <= 1 THEN 'ENTRY' WHEN years = 2 THEN 'JUNIOR' WHEN years <= 4 THEN 'MID' WHEN years <= 7 THEN 'SENIOR' WHEN years >= 8 THEN 'STAFF' END) AS level, count(*) AS n FROM v JOIN z USING (id) GROUP BY 1""",

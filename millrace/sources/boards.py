@@ -78,3 +78,28 @@ def declared_locations(location: Column, secondary: Column, every: Column) -> Co
     first = F.when(F.trim(location) != "", F.array(location)).otherwise(F.array().cast("array<string>"))
     rest = F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda x, i: (i > 0) | ~x.eqNullSafe(location))
     return F.concat(first, F.coalesce(secondary, F.array().cast("array<string>")), rest)
+
+
+def covering_facet(facets: DataFrame, total: int, page: int = 20, within: float = 0.01) -> DataFrame:
+    """The facet by which a listing capped at its total is read: its values' counts sum up to the total, in the fewest pages.
+
+    ``facets`` has ``facet, value, n``. Gives ``facet, value, n`` of that facet; none if no facet covers.
+    """
+    sums = facets.groupBy("facet").agg(F.sum("n").alias("_n"), F.sum(F.ceil(F.col("n") / page)).alias("_pages"))
+    best = sums.where(F.abs(F.col("_n") - total) <= within * total).agg(F.min(F.struct("_pages", "facet"))["facet"].alias("facet")).where("facet is not null")
+    return facets.join(best, "facet")
+
+
+def complete(read: DataFrame, key: str, total: int, least: float = 0.9) -> DataFrame:
+    """``n_read, complete``: distinct records read, and whether they are enough of the total to count as the board."""
+    return read.agg(F.count_distinct(key).alias("n_read")).withColumn("complete", F.col("n_read") >= least * total)
+
+
+def details_wanted(listed: DataFrame, held: DataFrame, wanted: Column, key: str = "external_id") -> DataFrame:
+    """Listed openings whose detail page is to be read: those ``wanted`` that aren't held under the same key and title."""
+    return listed.where(wanted).join(held.select(key, "title"), [key, "title"], "left_anti")
+
+
+def board_status(code: Column, n_openings: Column) -> Column:
+    """What a board's answer tells: NOT_FOUND, EMPTY, ACTIVE, or null where it can't be read."""
+    return F.when(code == 404, "NOT_FOUND").when(code != 200, None).when(n_openings > 0, "ACTIVE").when(n_openings == 0, "EMPTY")

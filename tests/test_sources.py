@@ -104,3 +104,14 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("u", "2026-01-01 00:00:00", 1.0), ("u", "2026-01-01 00:20:00", 2.0), ("u", "2026-01-01 02:00:00", 4.0)], "k string, t string, v double").withColumn("t", F.to_timestamp("t"))
     assert [r.total for r in windowed(events, "t", "k", "v").orderBy("start").collect()] == [3.0, 4.0]
     assert [r.n for r in sessions(events, "t", "k").orderBy("start").collect()] == [2, 1]
+
+
+def test_capped_listings(spark):
+    facets = spark.createDataFrame([("place", "a", 1500), ("place", "b", 500), ("kind", "x", 700), ("kind", "y", 700), ("kind", "z", 601), ("part", "p", 90)], "facet string, value string, n long")
+    assert {r.facet for r in boards.covering_facet(facets, 2000).collect()} == {"place"} and boards.covering_facet(facets, 500).count() == 0
+    listed = spark.createDataFrame([("1", "A", "IN"), ("2", "B", "IN"), ("3", "C", "OUT"), ("1", "A", "IN")], "external_id string, title string, state string")
+    assert tuple(boards.complete(listed, "external_id", 3).first()) == (3, True) and not boards.complete(listed, "external_id", 4).first().complete
+    held = spark.createDataFrame([("1", "A"), ("2", "old")], "external_id string, title string")
+    assert [r.external_id for r in boards.details_wanted(listed, held, F.col("state") == "IN").collect()] == ["2"]
+    answers = spark.createDataFrame([(404, None), (200, 3), (200, 0), (500, None)], "c int, n int")
+    assert [r[0] for r in answers.select(boards.board_status(F.col("c"), F.col("n"))).collect()] == ["NOT_FOUND", "ACTIVE", "EMPTY", None]

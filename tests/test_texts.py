@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.html import marked_lines
-from millrace.functions.numbers import haversine_km, verdict, wilson
+from millrace.functions.numbers import coin, haversine_km, match_score, verdict, wilson
 from millrace.functions.urls import board_region, board_slug, surt_prefix
 from millrace.operators.phrases import Classifier, Entry, Matcher, longest_phrase, plain_form
 from millrace.operators.segments import split_segments
@@ -115,3 +115,12 @@ def test_matcher():
     m = Matcher([Entry("js", ("javascript", "node js")), Entry("go", (), ("Go",), "js"), Entry("c", ("c++",)), Entry("r", (), ("R",))])
     assert m.found(["Go and JavaScript", "go, node-js at https://javascript.example", "c++ R", "R"]) == {"js": ([0, 1], False), "c": ([2], False), "go": ([0], True), "r": ([2], True)}
     assert m.found([]) == {} == m.found(["", None])
+
+
+def test_small_text_rules(spark):
+    assert one(spark, "Łódź d’Été ÆRØ", T.accent_folded) == "lodz dete aero" and one(spark, None, T.accent_folded) is None
+    assert one(spark, "You build it We ship it and You (all) Lead", T.guessed_items) == ["You build it", "We ship it and", "You (all)", "Lead"]
+    reasons = {"far": "too far", "pay": "pay|salary"}
+    assert [one(spark, x, lambda c: T.first_reason(c, reasons)) for x in ("the salary, and too far", "too far and no pay", "none", None)] == ["pay", "far", None, None]
+    row = spark.range(1).select(match_score(F.lit(4), F.lit(5), F.lit(1), F.lit(False)), match_score(F.lit(0), F.lit(0), F.lit(0), F.lit(False)), match_score(F.lit(1), F.lit(4), F.lit(None).cast("int"), F.lit(True)), coin(F.lit(1), 2).isNotNull()).first()
+    assert tuple(row) == (65.0, 0.0, 5.0, True)
