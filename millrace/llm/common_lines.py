@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 
 def line_letters(line: Column) -> Column:
     """What two lines are compared by: their letters (Unicode category L), lower-cased."""
@@ -26,7 +28,8 @@ def repeated_lines(
     A document given twice counts once, by its id; its rows must agree in board and text. Null and
     empty texts have no line that counts. Extra columns are not read.
 
-    Plan: lines shrink to a 64-bit hash in the scan's stage, so texts are never shuffled. Distinct
+    Plan: lines shrink to a 64-bit hash in the scan's stage, so texts are read once and never
+    shuffled; the hashes are written and read by what follows. Distinct
     (board, hash, document) rows are counted by partial aggregates to (board, hash), and only those
     counts meet the boards' sources. The lines join the frequent hashes on (board, hash), which
     spreads the lines of one large source over all tasks.
@@ -34,7 +37,7 @@ def repeated_lines(
     rows = documents.select(F.col(doc).alias("_doc"), F.col(board).alias("_board"), F.col(text).alias("_text"))
     pieces = rows.select("_doc", "_board", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
     letters = pieces.select("_doc", "_board", (F.col("_at") + 1).alias("line_no"), line_letters(F.col("_line")).alias("_letters"))
-    lines = letters.where(F.length("_letters") >= least_letters).select("_doc", "_board", "line_no", F.xxhash64("_letters").alias("_hash"))
+    lines = cut_lineage(letters.where(F.length("_letters") >= least_letters).select("_doc", "_board", "line_no", F.xxhash64("_letters").alias("_hash")))
 
     sources = source_of.select(F.col(board).alias("_sboard"), F.col(source).alias("_source")).dropDuplicates(["_sboard"])
     same_board = F.col("_board").eqNullSafe(F.col("_sboard"))
