@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "vacancy", "company_id", "id", "updated_at")
     return key_profile(rows, "company_id", "id", "updated_at").select(
-        "company_id", "n_rows", F.col("n_items").alias("n_openings"), "n_duplicates", "latest_update"
+        "company_id", "n_rows", F.col("n_items").alias("n_openings"), "n_duplicates", F.unix_micros("latest_update").alias("latest_update_us")
     )
 
 
@@ -99,7 +99,7 @@ found AS (
 ORACLES = {
     "p1_found": "SELECT company_id FROM vacancy GROUP BY company_id HAVING count(*) >= 0.025 * (SELECT count(*) FROM vacancy) AND company_id IS NOT NULL",
     "p1_profile": """SELECT company_id, count(*) AS n_rows, count(DISTINCT id) AS n_openings,
-        count(*) - count(DISTINCT id) AS n_duplicates, max(updated_at) AS latest_update FROM vacancy GROUP BY company_id""",
+        count(*) - count(DISTINCT id) AS n_duplicates, epoch_us(max(updated_at)) AS latest_update_us FROM vacancy GROUP BY company_id""",
     "p2_found": _CHANGES + "SELECT * FROM found",
     "p2_totals": _CHANGES + "SELECT snapshot_no, change_kind, count(*) AS n_changes FROM found GROUP BY ALL",
 }

@@ -165,21 +165,21 @@ def last_events(spark: SparkSession, d: str) -> DataFrame:
 
 def hourly_values(spark: SparkSession, d: str) -> DataFrame:
     hour = F.date_trunc("hour", "ts")
-    return table(spark, d, "events", "ts", "event_type", "value").groupBy(hour.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return table(spark, d, "events", "ts", "event_type", "value").groupBy(hour.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
 
 
 def large_orders(spark: SparkSession, d: str) -> DataFrame:
     """Top ten orders of each customer segment by revenue."""
-    revenue = table(spark, d, "lineitem", "l_orderkey", "l_extendedprice", "l_discount").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    revenue = table(spark, d, "lineitem", "l_orderkey", "l_extendedprice", "l_discount").groupBy("l_orderkey").agg(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).alias("revenue"))
     rows = revenue.join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     rank = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("revenue"), "o_orderkey"))
-    return rows.withColumn("rank", rank).where("rank <= 10").select("c_mktsegment", "o_orderkey", F.round("revenue", 2).alias("revenue"), "rank")
+    return rows.withColumn("rank", rank).where("rank <= 10").select("c_mktsegment", "o_orderkey", F.col("revenue").cast("double").alias("revenue"), "rank")
 
 
 def price_summary(spark: SparkSession, d: str) -> DataFrame:
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    price = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
     return table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount").groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count(F.lit(1)).alias("n")
+        F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.sum(price).cast("double").alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -254,11 +254,11 @@ ORACLES = {
         r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
         SELECT user_id, event_type, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM r GROUP BY user_id, run, event_type HAVING count(*) > 1""",
     "last_events": "SELECT user_id, event_id, event_type, (props->>'$.k')::INT AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "hourly_values": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "large_orders": """WITH r AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY 1)
-        SELECT c_mktsegment, o_orderkey, round(revenue, 2) AS revenue, row_number() OVER (PARTITION BY c_mktsegment ORDER BY revenue DESC, o_orderkey) AS rank
+    "hourly_values": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY 1, 2",
+    "large_orders": """WITH r AS (SELECT l_orderkey, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4)) AS revenue FROM lineitem GROUP BY 1)
+        SELECT c_mktsegment, o_orderkey, revenue::DOUBLE AS revenue, row_number() OVER (PARTITION BY c_mktsegment ORDER BY revenue DESC, o_orderkey) AS rank
         FROM r JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey QUALIFY rank <= 10""",
-    "price_summary": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_price,
+    "price_summary": """SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DOUBLE AS sum_price,
         round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "label_similarity": """WITH r AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM r GROUP BY 1, 2),
         u AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS u FROM m)
