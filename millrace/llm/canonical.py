@@ -195,9 +195,10 @@ def map_to_list(values: DataFrame, column: str, entries: DataFrame, countries: d
     with case, marks and short forms folded. Null and blank values, and those with no entry within
     the allowed edits, are unmatched. Null names are skipped. Without entries nothing matches.
     """
-    # values are few bytes and much work, so their partitions go by cores, not by size
+    # values are few bytes and much work, so their partitions go by cores, not by size; by the hash, lest
+    # the exchange be taken for the one that distinct has
     tasks = 2 * values.sparkSession.sparkContext.defaultParallelism
-    distinct = values.select(F.col(column).alias("_value")).distinct().repartition(tasks, "_value")
+    distinct = values.select(F.col(column).alias("_value")).distinct().repartition(tasks, F.xxhash64("_value"))
     listed = entries.select("name", "entry_id", "country", "population").where("name is not null and entry_id is not null")
     if rows_within(listed, most_entries):
         best = _broadcast_search(distinct, listed, countries)
