@@ -37,6 +37,14 @@ def vacancy_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return exact_duplicates(own, "id", "company_id", [F.col("location")], F.col("title"), "first_published_at")
 
 
+def opening_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Openings of one slug, title, location, mode and description that repeat another; vacancy_duplicates compares no descriptions."""
+    rows = table(spark, d, "vacancy", "id", "company_id", "title", "location", "workplace_type", "description", "first_published_at").dropDuplicates(["id"])
+    slugs = table(spark, d, "company", F.col("id").alias("company_id"), "slug").dropDuplicates(["company_id"])
+    own = rows.join(slugs, "company_id", "left").withColumn("slug", F.coalesce(F.concat(F.lit("s"), "slug"), F.concat(F.lit("b"), F.col("company_id").cast("string"))))
+    return exact_duplicates(own, "id", "company_id", [F.col("slug"), F.col("title"), F.col("location"), F.col("workplace_type")], F.col("description"), "first_published_at")
+
+
 def company_names(spark: SparkSession, d: str) -> DataFrame:
     return mirror.commonest(table(spark, d, "company", "id", "slug", "name"), "slug", "name", "id")
 
@@ -193,7 +201,7 @@ def label_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    mirror_report, mirror_gated, vacancy_duplicates, company_names, companies_added, recorded_outputs, surviving_outputs, regions_by_url, after_page, supported_scope,
+    mirror_report, mirror_gated, vacancy_duplicates, opening_duplicates, company_names, companies_added, recorded_outputs, surviving_outputs, regions_by_url, after_page, supported_scope,
     declared_locations, work_modes, seniority_tally, mode_pivot, pay_percentiles, slug_concentration, department_nearness, places_within, language_agreement,
     sample_allocation, seeded_sample, mean_interval, user_gaps, event_spans, last_events, hourly_values, large_orders, price_summary, label_similarity,
 )}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import events, mirror, sampling
 from millrace.operators.duplicates import exact_duplicates
 from millrace.operators.nearness import group_nearness
+from millrace.plans import records
 from millrace.session import cut_lineage, rows_within
 
 
@@ -89,3 +90,14 @@ def test_events(spark):
 def test_session_helpers(spark):
     assert rows_within(spark.range(3), 3) and not rows_within(spark.range(4), 3)
     assert cut_lineage(spark.range(5)).count() == 5
+
+
+def test_opening_duplicates_compare_slug_mode_and_description(spark, tmp_path):
+    data = [
+        (1, 10, "T", "L", "Remote", "one body", D(2026, 1, 1)), (2, 11, "t", "l", "Remote", "One  body", D(2026, 1, 2)), (3, 10, "T", "L", "Remote", "other", D(2026, 1, 3)),
+        (4, 12, "T", "L", "Remote", "one body", D(2026, 1, 4)), (5, 10, "T", "L", "OnSite", "one body", D(2026, 1, 5)), (1, 10, "T", "L", "Remote", "one body", D(2026, 1, 1)),
+    ]
+    columns = "id int, company_id int, title string, location string, workplace_type string, description string, first_published_at timestamp"
+    spark.createDataFrame(data, columns).write.parquet(f"{tmp_path}/vacancy.parquet")
+    spark.createDataFrame([(10, "a"), (11, "a"), (12, "b")], "id int, slug string").write.parquet(f"{tmp_path}/company.parquet")
+    assert rows(records.opening_duplicates(spark, str(tmp_path))) == [(2, 1)]
