@@ -10,6 +10,8 @@ from millrace.operators import events as ev
 from millrace.operators import mirror, sampling
 from millrace.operators.duplicates import exact_duplicates
 from millrace.operators.nearness import group_nearness
+from millrace.operators.snapshots import plain_key
+from millrace.session import cut_lineage
 from millrace.sources.tables import table
 
 COMPARED = ["title", "location", "department", "pay_min_cents", "description_hash"]
@@ -31,6 +33,39 @@ def mirror_gated(spark: SparkSession, d: str) -> DataFrame:
     return mirror.reconcile(_snapshot(spark, d, 1), _snapshot(spark, d, 2), "company_id", "external_id", COMPARED, outcome)[0].groupBy("company_id").agg(F.count(F.lit(1)).alias("n_held"))
 
 
+def _mirrored(spark: SparkSession, d: str, outcome: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All snapshots mirrored one after the other into the first: what is held, and a report by snapshot and company.
+
+    Keys are plain ones; where a snapshot holds a key twice, the row updated last counts.
+    """
+    rows = table(spark, d, "vacancy_snapshot", "snapshot_no", "company_id", "external_id", "updated_at", *COMPARED).where("snapshot_no is not null")
+    latest = F.max(F.struct("updated_at", *COMPARED)).alias("r")
+    last = cut_lineage(rows.withColumn("external_id", plain_key(F.col("external_id"))).groupBy("snapshot_no", "company_id", "external_id").agg(latest))
+    numbers = [r[0] for r in last.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]
+    steps = [last.where(F.col("snapshot_no") == n).select("company_id", "external_id", *(f"r.{c}" for c in COMPARED)) for n in numbers]
+    held = steps[0] if steps else last.select("company_id", "external_id", *(f"r.{c}" for c in COMPARED))
+    reports = last.limit(0).selectExpr("snapshot_no", "company_id", "0L as added", "0L as updated", "0L as deleted")
+    for n, published in zip(numbers[1:], steps[1:], strict=True):
+        held, report = mirror.reconcile(held, published, "company_id", "external_id", COMPARED, outcome)
+        held = cut_lineage(held)
+        reports = reports.unionByName(report.withColumn("snapshot_no", F.lit(n)))
+    return held, reports
+
+
+def snapshot_mirror(spark: SparkSession, d: str) -> DataFrame:
+    """What each snapshot after the first changes, by company; mirror_report has the first two by a simpler key."""
+    return _mirrored(spark, d)[1]
+
+
+def snapshot_mirror_gated(spark: SparkSession, d: str) -> DataFrame:
+    """What is held after all snapshots, boards that weren't read keeping theirs."""
+    return _mirrored(spark, d, _outcome(spark, d))[0].groupBy("company_id").agg(F.count(F.lit(1)).alias("n_held"))
+
+
+def _outcome(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "company", "id", "board_status").select(F.col("id").alias("company_id"), F.when(F.col("board_status") == "ACTIVE", "published").when(F.col("board_status") == "NOT_FOUND", "not_found").otherwise("unreadable").alias("outcome"))
+
+
 def vacancy_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "vacancy", "id", "company_id", "title", "location", "description", "first_published_at")
     own = rows.groupBy("id").agg(F.first("company_id").alias("company_id"), F.first("title").alias("title"), F.first("location").alias("location"), F.first(F.sha2("description", 256)).alias("digest"), F.min("first_published_at").alias("first_published_at"))
@@ -201,7 +236,7 @@ def label_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    mirror_report, mirror_gated, vacancy_duplicates, opening_duplicates, company_names, companies_added, recorded_outputs, surviving_outputs, regions_by_url, after_page, supported_scope,
+    mirror_report, mirror_gated, snapshot_mirror, snapshot_mirror_gated, vacancy_duplicates, opening_duplicates, company_names, companies_added, recorded_outputs, surviving_outputs, regions_by_url, after_page, supported_scope,
     declared_locations, work_modes, seniority_tally, mode_pivot, pay_percentiles, slug_concentration, department_nearness, places_within, language_agreement,
     sample_allocation, seeded_sample, mean_interval, user_gaps, event_spans, last_events, hourly_values, large_orders, price_summary, label_similarity,
 )}

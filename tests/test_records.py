@@ -101,3 +101,15 @@ def test_opening_duplicates_compare_slug_mode_and_description(spark, tmp_path):
     spark.createDataFrame(data, columns).write.parquet(f"{tmp_path}/vacancy.parquet")
     spark.createDataFrame([(10, "a"), (11, "a"), (12, "b")], "id int, slug string").write.parquet(f"{tmp_path}/company.parquet")
     assert rows(records.opening_duplicates(spark, str(tmp_path))) == [(2, 1)]
+
+
+def test_snapshot_mirror_takes_all_snapshots_plain_keys_and_latest_rows(spark, tmp_path):
+    late, early = D(2026, 1, 2), D(2026, 1, 1)
+    data = [(1, "007", late, "a"), (2, "7", late, "a"), (2, " 7", early, "z"), (3, "7", late, "b"), (3, "X", late, "c"), (4, "x ", late, "c")]
+    full = [(n, 1, k, t, title, None, None, None, None) for n, k, t, title in data]
+    columns = "snapshot_no int, company_id int, external_id string, updated_at timestamp, title string, location string, department string, pay_min_cents long, description_hash string"
+    spark.createDataFrame(full, columns).write.parquet(f"{tmp_path}/vacancy_snapshot.parquet")
+    spark.createDataFrame([(1, "BROKEN")], "id int, board_status string").write.parquet(f"{tmp_path}/company.parquet")
+    found = records.snapshot_mirror(spark, str(tmp_path)).select("snapshot_no", "added", "updated", "deleted")
+    assert rows(found) == [(2, 0, 0, 0), (3, 1, 1, 0), (4, 0, 0, 1)]
+    assert rows(records.snapshot_mirror_gated(spark, str(tmp_path))) == [(1, 1)]
