@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -29,20 +30,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back from there.
 
-    The folder is the one all executors share (``spark.checkpoint.dir``). Where the session names
-    none, as in tests, a temporary one is set.
+    The folder is the one all executors share (``spark.checkpoint.dir``). Where a local session names
+    none, as in tests, a temporary one is set that goes with the process; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="millrace-checkpoints-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
 def rows_within(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has at most ``bound`` rows; reads no more than it needs to tell."""
-    return len(df.limit(bound + 1).select().take(bound + 1)) <= bound
+    """Whether ``df`` has at most ``bound`` rows; reads no more than it needs to tell, and the driver gets one number."""
+    return df.limit(bound + 1).count() <= bound
 
 
 def ship(spark: SparkSession) -> None:
