@@ -19,16 +19,20 @@ _EDGE = r"[\p{L}\p{N}]"
 # Seniority words, in the order in which they are looked for.
 SENIORITY = [("MID", r"semi[\s-]?senior|ssr"), ("SENIOR", "senior|sr"), ("JUNIOR", "junior|jr"), ("PRINCIPAL", "principal")]
 
-# Frequent function words of languages written in Latin letters.
+# Words that carry grammar, by kind: articles and joining words, pronouns, forms of be, have and can, prepositions, others.
 FUNCTION_WORDS = {
-    "de": "der die das und ist nicht mit für auf ein eine von zu den im wir sie du dem des als auch sich bei oder".split(),
-    "en": "the of and to in is you that for with on are as be this have from or our we your will at by an".split(),
-    "es": "el la los las de que y en un una por con para se del al su es más como pero sus este lo nos".split(),
-    "fr": "le la les des et est un une que pour dans en avec sur vous nous pas au aux ce qui plus par votre du".split(),
-    "it": "il lo gli di che è un una per con non del della dei nel alla sono più anche come ti da al le si".split(),
-    "nl": "de het een en van ik te dat die in is niet met op voor zijn aan je wij bij ook als naar om onze".split(),
-    "pl": "i w na z do że się nie jest to o jak po co dla od przez ale oraz za lub naszym które jako tego".split(),
-    "pt": "o a os as de que e em um uma para com não por mais do da dos das no na se você ao como seu".split(),
+    "da": "en et og men eller fordi når at vi du han hun dem deres vores jeres er var har bliver kan skal på af til fra med uden mellem hos ikke også meget som det den".split(),
+    "de": "der die das ein eine einen und aber oder weil wenn dass ich wir sie ihr uns unser ihre ist sind wird werden kann haben mit nach bei aus durch für ohne über zum zur nicht auch sehr".split(),
+    "en": "a an the and but because although while than he she they them their which who it its is are was were been has had does would could should from about into between through without with".split(),
+    "es": "el los las una unos pero porque cuando aunque nosotros ellos usted sus nuestro nuestra es son está están ser hay tiene del al con desde hasta sin sobre entre para por muy también más".split(),
+    "fi": "ja mutta tai koska kun jos että minä sinä hän me te he meidän sinun on ovat oli olla voi olet kanssa ilman kautta sekä ei myös hyvin joka jotka tämä se niin".split(),
+    "fr": "le les une des mais parce quand donc où nous vous ils elle leur leurs notre votre est sont être avoir ont avez dans chez avec sans sous vers depuis pour très aussi plus cette ces".split(),
+    "it": "gli una uno ma perché quando anche oppure noi loro suo sua nostro nostra è sono essere avere hanno della degli nella nelle dal sul con senza tra per molto più questo questa".split(),
+    "nl": "het een maar omdat wanneer dus wij jij zij hun ons onze jouw zijn was wordt worden heeft hebben kunt van voor naar met door zonder tussen bij niet ook zeer deze dit".split(),
+    "no": "en et ei og men eller fordi når at vi du han hun dem deres vår våre er var har blir kan skal på av til fra med uten mellom hos ikke også mye som det den".split(),
+    "pl": "i ale oraz lub ponieważ my wy oni nas nasz nasza jego jest są był być ma mają w z na do dla przez pod przy bez między nie się także bardzo który która które to".split(),
+    "pt": "os uma umas mas porque quando também nós eles você seu sua nosso nossa são foi está estão ser tem têm do da dos das no na nos nas pelo pela com sem até não".split(),
+    "sv": "en ett och men eller eftersom när att vi du han hon dem deras vår vårt är var har blir kan ska på av till från med utan mellan för hos inte också mycket som det den".split(),
 }
 # A language for each script that only one of those here is written in.
 SCRIPT_LANGUAGES = {"ko": "IsHangul", "he": "IsHebrew", "el": "IsGreek", "ar": "IsArabic", "th": "IsThai", "hi": "IsDevanagari", "ru": "IsCyrillic"}
