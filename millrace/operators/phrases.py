@@ -1,7 +1,8 @@
 """Dictionaries of phrases matched against texts.
 
-The dictionaries are parameters. A matcher is built once a task from a broadcast list and runs over
-Arrow batches.
+The dictionaries are parameters. Phrases are found by a join: the distinct texts give their runs of
+words, and those that a dictionary lists meet it on the run. Mentions in whole documents go by a
+matcher, which is built once a task from a broadcast list and runs over Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,46 +12,61 @@ from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_SEPARATOR = re.compile(r"(?<=[^\s_/-])[\s_/-]+(?=[^\s_/-])")
+from millrace.functions.text import name_form
 
 
-def plain_form(name: str) -> str:
-    """The same key that functions.text.name_form gives."""
-    return _SEPARATOR.sub(" ", name.strip().lower())
+def dictionary(spark: SparkSession, kinds: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """``kind, phrase, label`` of several dictionaries, each a mapping of phrases to labels."""
+    rows = [(kind, phrase, label) for kind, phrases in kinds.items() for phrase, label in phrases.items()]
+    given = spark.createDataFrame(rows, "kind string, phrase string, label string")
+    return given.select("kind", name_form(F.col("phrase")).alias("phrase"), "label").where("phrase <> ''")
 
 
-def longest_phrase(words: list[str], phrases: Iterable[str], most: int) -> str | None:
-    """The longest run of words that is a phrase; the earliest of equals."""
-    for size in range(min(most, len(words)), 0, -1):
-        for at in range(len(words) - size + 1):
-            if (run := " ".join(words[at : at + size])) in phrases:
-                return run
-    return None
+def phrase_hits(df: DataFrame, text: str, phrases: DataFrame, longest: int | None = None) -> DataFrame:
+    """``text, kind, phrase, label, size, at``: each listed phrase in the words of each distinct text.
+
+    ``phrases`` has ``kind, phrase, label``, the phrases as ``name_form`` gives them; of equal ones in
+    a kind the least label counts. ``size`` is its number of words and ``at`` the place of the first,
+    from 1. ``longest`` bounds the words of a phrase; without it the dictionary is asked. Null and
+    blank texts have none. Either side may have any size: runs and phrases meet in a join.
+    """
+    listed = phrases.groupBy("kind", "phrase").agg(F.min("label").alias("label"))
+    if longest is None:
+        longest = listed.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
+    each = df.select(F.col(text).alias("_text")).where("trim(_text) <> ''").distinct().withColumn("_words", F.split(name_form(F.col("_text")), r"\s+"))
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("_words", i, n), " ").alias("phrase")))
+
+    runs = F.flatten(F.array(*map(runs_of, range(1, max(1, longest) + 1))))
+    spread = each.select("_text", F.explode(runs).alias("r")).select("_text", "r.*")
+    return spread.join(listed, "phrase").select(F.col("_text").alias(text), "kind", "phrase", "label", "size", "at")
 
 
-def phrase_lookup(text: Column, labels: Mapping[str, str]) -> Column:
-    """The label of the longest phrase in a text's words, or null."""
-    table = {plain_form(k): v for k, v in labels.items()}
-    most = max((k.count(" ") + 1 for k in table), default=0)
+def _longest(value: str) -> Column:
+    """Of hits the value of the longest, of equals the first."""
+    return F.max_by(value, F.struct(F.col("size"), -F.col("at")))
 
-    @F.pandas_udf(T.StringType())
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: table.get(longest_phrase(plain_form(t).split(), table, most)) if isinstance(t, str) else None)
 
-    return find(text)
+def phrase_labels(df: DataFrame, text: str, labels: Mapping[str, str], name: str = "label") -> DataFrame:
+    """``df`` with the label of the longest phrase in a text's words, the first of equals, or null."""
+    hits = phrase_hits(df, text, dictionary(df.sparkSession, {"all": labels}))
+    found = hits.groupBy(F.col(text).alias("_text")).agg(_longest("label").alias(name))
+    return df.join(found, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
 @dataclass
 class Classifier:
     """Three states by dictionaries, in the order: rulings, never, disciplines, qualifiers, heads.
 
-    A title ruled by name has that state. Else a word of ``heads`` is needed, or the title is
-    unknown for want of a rule; ``never`` and ``disciplines`` put it out, a ``qualifier`` in; a head
-    that needs a domain leaves it unknown for its domain, and any other for its scope.
+    A title ruled by name (the longest such phrase) has that state. Else a word of ``heads`` is needed,
+    or the title is unknown for want of a rule; ``never`` and ``disciplines`` put it out, a
+    ``qualifier`` in; if the last of its heads needs a domain the title is unknown for its domain,
+    else for its scope.
     """
 
     rulings: Mapping[str, str] = field(default_factory=dict)
@@ -59,25 +75,24 @@ class Classifier:
     qualifiers: frozenset[str] = frozenset()
     heads: Mapping[str, bool] = field(default_factory=dict)
 
-    def state(self, title: str | None) -> tuple[str, str | None]:
-        words = plain_form(title or "").split()
-        most = max([1, *(p.count(" ") + 1 for p in [*self.rulings, *self.never, *self.disciplines, *self.qualifiers])])
-        if ruled := longest_phrase(words, self.rulings, most):
-            return self.rulings[ruled], None
-        head = next((w for w in reversed(words) if w in self.heads), None)
-        if head is None:
-            return "UNKNOWN", "UNRULED"
-        for phrases, found in ((self.never, "OUT"), (self.disciplines, "OUT"), (self.qualifiers, "IN")):
-            if longest_phrase(words, phrases, most):
-                return found, None
-        return "UNKNOWN", "DOMAIN_AMBIGUITY" if self.heads[head] else "SCOPE_AMBIGUITY"
-
-    def column(self, title: Column) -> Column:
-        @F.pandas_udf("state string, reason string")
-        def classify(titles: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([self.state(t) for t in titles], columns=["state", "reason"])
-
-        return classify(title)
+    def classify(self, df: DataFrame, title: str) -> DataFrame:
+        """``df`` with ``state`` and ``reason``. Null and blank titles are unknown for want of a rule."""
+        kinds = {
+            "ruling": self.rulings, "out": dict.fromkeys([*self.never, *self.disciplines], ""), "in": dict.fromkeys(self.qualifiers, ""),
+            "head": {w: "DOMAIN_AMBIGUITY" if domain else "SCOPE_AMBIGUITY" for w, domain in self.heads.items()},
+        }
+        hits = phrase_hits(df, title, dictionary(df.sparkSession, kinds))
+        of = lambda kind: F.col("kind") == kind
+        found = hits.groupBy(F.col(title).alias("_text")).agg(
+            F.max_by(F.when(of("ruling"), F.col("label")), F.when(of("ruling"), F.struct(F.col("size"), -F.col("at")))).alias("_ruled"),
+            F.max_by(F.when(of("head"), F.col("label")), F.when(of("head"), F.col("at"))).alias("_head"),
+            F.count_if(of("out")).alias("_out"), F.count_if(of("in")).alias("_in"),
+        )
+        ruled, head = F.col("_ruled").isNotNull(), F.col("_head").isNotNull()
+        state = F.when(ruled, F.col("_ruled")).when(head & (F.col("_out") > 0), "OUT").when(head & (F.col("_in") > 0), "IN").otherwise("UNKNOWN")
+        reason = F.when(ruled, None).when(~head, "UNRULED").when((F.col("_out") > 0) | (F.col("_in") > 0), None).otherwise(F.col("_head"))
+        both = df.join(found, F.col(title) == F.col("_text"), "left")
+        return both.select(*(both[c] for c in df.columns), state.alias("state"), reason.alias("reason"))
 
 
 @dataclass
@@ -88,6 +103,10 @@ class Entry:
     parent: str | None = None
 
 
+#: Keys of a list of entries that is sent to all tasks.
+MOST_KEYS = 1_000_000
+
+
 class Matcher:
     """Finds the keys of entries in texts: whole words, the longest at each place, none overlapping.
 
@@ -153,10 +172,13 @@ class Matcher:
 def extract_entries(df: DataFrame, key: str, text: str, entries: Iterable[Entry]) -> DataFrame:
     """``key, entry, segments, from_context``: the entries each text mentions; segments are its lines from 0.
 
-    Null and empty texts mention none. The list of entries is sent to all tasks, so it is a reference
-    list of bounded size.
+    Null and empty texts mention none. The list of entries is sent to all tasks with the code, so it is
+    a reference list of at most MOST_KEYS keys; a longer one is an error.
     """
-    listed = df.sparkSession.sparkContext.broadcast(list(entries))
+    given = list(entries)
+    if sum(len(e.keys) + len(e.context_keys) for e in given) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys")
+    listed = df.sparkSession.sparkContext.broadcast(given)
     kind = df.schema[key].dataType.simpleString()
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -69,7 +69,7 @@ class Pipeline:
         return self._record("cleaned", cleaned, report)
 
     def classify(self, classifier: Classifier) -> Result:
-        states = self.tables["cleaned"].select("id", classifier.column(F.col("cleaned_title")).alias("c")).select("id", "c.*")
+        states = classifier.classify(self.tables["cleaned"].select("id", "cleaned_title"), "cleaned_title").select("id", "state", "reason")
         count = lambda column, value: F.count_if(F.col(column) == value).alias(value.lower())
         return self._record("states", states, states.agg(F.count(F.lit(1)).alias("vacancies"), *(count("state", s) for s in ("IN", "OUT", "UNKNOWN")), *(count("reason", r) for r in ("UNRULED", "DOMAIN_AMBIGUITY", "SCOPE_AMBIGUITY"))))
 

@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.functions.numbers import wilson
 from millrace.functions.urls import board_region, board_slug, surt_prefix
 from millrace.operators import segments as seg
-from millrace.operators.phrases import Classifier, Entry, extract_entries, phrase_lookup
+from millrace.operators.phrases import Classifier, Entry, extract_entries, phrase_labels
 from millrace.sources.tables import table
 
 HOSTS = r"boards\.[a-z]+\.example"
@@ -56,8 +56,10 @@ def detected_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def language_shares(spark: SparkSession, d: str) -> DataFrame:
     """Languages of the texts that are left once equal folded texts are taken once, with intervals."""
-    rows = table(spark, d, "documents", "doc_id", "text").where(T.folded(F.col("text")) != "")
-    kept = rows.groupBy(F.sha2(T.folded(F.col("text")), 256).alias("digest")).agg(F.min_by(T.detected_language(F.lit(None), F.col("text")), F.col("doc_id")).alias("lang"))
+    # the language is told before the shuffle, so that no text is shuffled
+    digest = T.bound(T.folded(F.col("text")), lambda x: F.when(x != "", F.struct(F.xxhash64(x), F.length(x))))
+    rows = table(spark, d, "documents", "doc_id", "text").select("doc_id", digest.alias("digest"), T.detected_language(F.lit(None), F.col("text")).alias("lang"))
+    kept = rows.where("digest is not null").groupBy("digest").agg(F.min_by("lang", "doc_id").alias("lang"))
     counts = kept.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     low, high = wilson(F.col("n"), total)
@@ -102,15 +104,19 @@ CLASSIFIER = Classifier(
 )
 
 
+FIELDS = {w: w.upper() for w in "backend frontend mobile data cloud security network platform support billing field quality search growth".split()}
+FIELDS |= {"data platform": "DATA PLATFORM", "cloud security": "CLOUD SECURITY", "mobile growth": "MOBILE GROWTH"}
+
+
 def title_states(spark: SparkSession, d: str) -> DataFrame:
     """Tally of states and reasons by the dictionary classifier."""
-    states = _once(spark, d, "title").select(CLASSIFIER.column(T.clean_title(F.col("title"))).alias("c"))
-    return states.groupBy("c.state", "c.reason").agg(F.count(F.lit(1)).alias("n"))
+    titles = _once(spark, d, "title").select("id", T.clean_title(F.col("title")).alias("title"))
+    return CLASSIFIER.classify(titles, "title").groupBy("state", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def title_fields(spark: SparkSession, d: str) -> DataFrame:
-    names = {w: w.upper() for w in ("backend", "frontend", "mobile", "data", "cloud", "security", "network", "platform", "support", "billing", "field", "quality", "search", "growth")}
-    return _once(spark, d, "title").select("id", phrase_lookup(F.col("title"), names).alias("label"))
+    """The label of the longest listed phrase of each title."""
+    return phrase_labels(_once(spark, d, "title"), "title", FIELDS).select("id", "label")
 
 
 TOPICS = [

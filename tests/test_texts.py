@@ -7,7 +7,7 @@ from millrace.functions import text as T
 from millrace.functions.html import marked_lines
 from millrace.functions.numbers import coin, haversine_km, match_score, verdict, wilson
 from millrace.functions.urls import board_region, board_slug, surt_prefix
-from millrace.operators.phrases import Classifier, Entry, Matcher, longest_phrase, plain_form
+from millrace.operators.phrases import Classifier, Entry, Matcher, phrase_labels
 from millrace.operators.segments import split_segments
 
 
@@ -34,10 +34,8 @@ def test_seniority_words(spark):
 
 
 @pytest.mark.parametrize(("name", "form"), [(" Back-End_dev ", "back end dev"), ("-x-", "-x-"), ("a / b", "a b"), (None, None)])
-def test_name_form_in_both_languages(spark, name, form):
+def test_name_form(spark, name, form):
     assert one(spark, name, T.name_form) == form
-    if name:
-        assert plain_form(name) == form
 
 
 def test_folding(spark):
@@ -104,11 +102,25 @@ def test_segments():
     assert split_segments(None) == [] == split_segments(" \n ")
 
 
-def test_phrases():
-    assert longest_phrase("a b c b".split(), {"b", "b c", "c b"}, 2) == "b c"
-    c = Classifier({"data lead": "OUT"}, frozenset({"sales"}), frozenset({"civil"}), frozenset({"web"}), {"engineer": False, "analyst": True})
-    cases = {"data lead engineer": ("OUT", None), "web": ("UNKNOWN", "UNRULED"), "web engineer": ("IN", None), "sales web engineer": ("OUT", None), "analyst": ("UNKNOWN", "DOMAIN_AMBIGUITY"), "engineer": ("UNKNOWN", "SCOPE_AMBIGUITY")}
-    assert {t: c.state(t) for t in cases} == cases and c.state(None)[0] == "UNKNOWN"
+def test_phrases(spark):
+    titles = ["a b c b", "c  B", "A-b", "d", "", " ", None, "x" * 5000, "a b c b"]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(titles)], "id long, title string, _text string").drop("_text")
+    labels = {"b": "1", "b c": "2", "C b": "3", "a": "4"}
+    found = {r.id: r.label for r in phrase_labels(df, "title", labels).collect()}
+    assert found == {0: "2", 1: "3", 2: "4", 3: None, 4: None, 5: None, 6: None, 7: None, 8: "2"}
+    assert phrase_labels(df, "title", {}).where("label is not null").count() == 0
+
+
+def test_classifier(spark):
+    c = Classifier({"data lead": "OUT", "data": "IN"}, frozenset({"sales"}), frozenset({"civil"}), frozenset({"web"}), {"engineer": False, "analyst": True})
+    cases = {
+        "data lead engineer": ("OUT", None), "web": ("UNKNOWN", "UNRULED"), "web engineer": ("IN", None), "sales web engineer": ("OUT", None), "analyst": ("UNKNOWN", "DOMAIN_AMBIGUITY"),
+        "engineer": ("UNKNOWN", "SCOPE_AMBIGUITY"), "analyst engineer": ("UNKNOWN", "SCOPE_AMBIGUITY"), "engineer, analyst": ("UNKNOWN", "UNRULED"), "civil": ("UNKNOWN", "UNRULED"), None: ("UNKNOWN", "UNRULED"), "": ("UNKNOWN", "UNRULED"),
+    }
+    df = spark.createDataFrame([(t, "z") for t in cases], "title string, kind string")
+    found = c.classify(df, "title")
+    assert {r.title: (r.state, r.reason) for r in found.collect()} == cases | {"engineer, analyst": ("UNKNOWN", "DOMAIN_AMBIGUITY")} and found.columns == ["title", "kind", "state", "reason"]
+    assert c.classify(df.limit(0), "title").count() == 0
 
 
 def test_matcher():
