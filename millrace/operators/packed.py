@@ -13,17 +13,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import rows_within
+
 # Characters that separate values, quote them or are blank.
-STRONG = ";|\n\r\v\f  •‣·、；｜"
+STRONG = ";|+\n\r\v\f  •‣·、；｜"
 SLASHES = "/／"
 COMMAS = ",，"
 OPENING, CLOSING = "“„«‹「『", "”»›」』"
 BLANKS = " \t              　﻿"
 JOINING_WORDS = ("and", "or", "&")
 
+#: A run of letters and digits.
+_RUN = r"[\p{L}\p{N}]+"
+
 _ENCLOSED = [("\"", "\""), ("'", "'"), ("‘", "’"), ("’", "’"), ("“", "”"), ("„", "“"), ("„", "”"), ("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』")]
 
 
@@ -72,8 +77,9 @@ def split_strings(texts: pa.Array, suffixes: pa.Array, whole: Iterable[str]) ->
 
     distinct, back = np.unique(points, return_inverse=True)
     small = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in map(chr, distinct)], np.uint32)[back]
+    lettered = np.array([x.isalnum() for x in map(chr, distinct)], bool)[back]
     blank, comma = _among(points, BLANKS), _among(points, COMMAS)
-    strong = _among(points, STRONG) | _among(points, SLASHES)
+    strong = _among(points, STRONG)
 
     # brackets of a list that encloses a whole string count as blank
     shown = np.flatnonzero(~blank)
@@ -92,6 +98,11 @@ def split_strings(texts: pa.Array, suffixes: pa.Array, whole: Iterable[str]) ->
         moved[first_of_row if by == 1 else last_of_row] = outside
         return moved
 
+    # a slash between two single letters is part of a short form, as in n/a
+    before, after = shifted(lettered, 1, False), shifted(lettered, -1, False)
+    alone = lettered & ~before & ~after
+    strong |= _among(points, SLASHES) & ~(shifted(alone, 1, False) & shifted(alone, -1, False))
+
     # what encloses: straight quotes by parity, the others by depth
     escaped = shifted(points == ord("\\"), 1, False)
     straight = (points == ord('"')) & ~escaped
@@ -115,7 +126,6 @@ def split_strings(texts: pa.Array, suffixes: pa.Array, whole: Iterable[str]) ->
 
     # names that hold a delimiter themselves
     flat = small.astype("<u4").tobytes().decode("utf-32-le")
-    lettered = np.array([x.isalnum() for x in map(chr, distinct)], bool)[back]
     for name in whole:
         at = flat.find(name)
         while at >= 0:
@@ -195,8 +205,9 @@ def _bare(values: pa.Array) -> pa.Array:
 def split_packed(df: DataFrame, key: str, packed: str, suffixes: Iterable[str] = (), whole: Iterable[str] = ()) -> DataFrame:
     """One row a value of ``packed``: ``key, pos`` (from 1), ``value, n_values`` (of its row).
 
-    Values are separated by semicolons, bars, slashes, line breaks, bullets, commas and a joining
-    word or ampersand between blanks, unless quotes (straight, doubled or escaped, single, angled or
+    Values are separated by semicolons, bars, plus signs, slashes, line breaks, bullets, commas and a
+    joining word or ampersand between blanks, unless they are a slash between two single letters
+    (n/a), or quotes (straight, doubled or escaped, single, angled or
     curly), brackets or a name of ``whole`` enclose them. A comma before one of ``suffixes`` (states,
     countries; in any letter case) belongs to the value before it; where such a word leads, to the
     one after it. Quotes and brackets without a counterpart enclose nothing.
@@ -204,7 +215,7 @@ def split_packed(df: DataFrame, key: str, packed: str, suffixes: Iterable[str] =
     A null, empty or blank field, or one of delimiters only, gives no rows; a field with one value
     gives one. Repeated rows and equal values are kept. Any other column of ``df``, whatever its
     name, is left out. ``suffixes`` and ``whole`` go to the tasks with the code, so they must be
-    reference lists of bounded size; whoever reads them from a table checks that.
+    lists of bounded size; ``split_by_lists`` takes tables of any size.
     """
     endings = pa.array(sorted({x.lower() for x in suffixes}), pa.large_string())
     names = sorted({x.lower() for x in whole})
@@ -212,12 +223,55 @@ def split_packed(df: DataFrame, key: str, packed: str, suffixes: Iterable[str] =
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parents, position, values = split_strings(batch.column(1), endings, names)
-            count = np.bincount(parents, minlength=batch.num_rows)[parents]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(parents)), pa.array(position, pa.int32()), values.cast(pa.string()), pa.array(count, pa.int32())],
-                names=["_key", "pos", "value", "n_values"],
-            )
+            yield _split_batch(batch, endings, names)
 
     narrow = df.select(F.col(key).alias("_key"), F.col(packed).alias("_packed")).where(F.col("_packed").isNotNull())
     return narrow.mapInArrow(split, f"_key {kind}, pos int, value string, n_values int").withColumnRenamed("_key", key)
+
+
+def _split_batch(batch: pa.RecordBatch, endings: pa.Array, names: Iterable[str]) -> pa.RecordBatch:
+    parents, position, values = split_strings(batch.column(1), endings, names)
+    count = np.bincount(parents, minlength=batch.num_rows)[parents]
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(pa.array(parents)), pa.array(position, pa.int32()), values.cast(pa.string()), pa.array(count, pa.int32())],
+        names=["_key", "pos", "value", "n_values"],
+    )
+
+
+#: Words of a list that go to the tasks with the code; of longer lists each field gets those it holds, by a join.
+MOST_WORDS = 20_000
+
+
+def holds_delimiter(name: Column) -> Column:
+    """Whether a name would be split."""
+    words = "|".join(JOINING_WORDS)
+    return name.rlike(rf"[\Q{STRONG}{SLASHES}{COMMAS}\E]") | F.lower(name).rlike(rf"\s(?:{words})\s")
+
+
+def split_by_lists(df: DataFrame, key: str, packed: str, suffixes: DataFrame, whole: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """``split_packed`` with its two lists as tables of one column, of any size; the result is the same.
+
+    Words that hold no letter or digit are no suffixes or names. Null words are skipped.
+    """
+    lists = [x.select(F.lower(F.col(x.columns[0])).alias("_word")).where(F.col("_word").rlike(_RUN)).distinct() for x in (suffixes, whole)]
+    if all(rows_within(x, most_words) for x in lists):
+        endings, names = ([r[0] for r in x.collect()] for x in lists)
+        return split_packed(df, key, packed, endings, names)
+    narrow = df.select(F.col(key).alias("_key"), F.col(packed).alias("_packed")).where(F.col("_packed").isNotNull())
+    known = lists[0].withColumn("_ends", F.lit(True)).unionByName(lists[1].withColumn("_ends", F.lit(False)))
+    runs = lambda x: F.regexp_extract_all(x, F.lit(_RUN), F.lit(0))
+    longest = F.array_max(F.transform(runs(F.col("_word")), lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))["run"]
+    fields = narrow.select("_packed").distinct().withColumn("_run", F.explode(F.array_distinct(runs(F.lower("_packed")))))
+    held = fields.join(known.withColumn("_run", longest), "_run").where(F.lower("_packed").contains(F.col("_word")))
+    own = held.groupBy(F.col("_packed").alias("_field")).agg(
+        F.collect_set(F.when(F.col("_ends"), F.col("_word"))).alias("_endings"), F.collect_set(F.when(~F.col("_ends"), F.col("_word"))).alias("_names")
+    )
+    kind = df.schema[key].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # what one field holds can't matter to another that doesn't
+            endings, names = (pc.unique(pc.list_flatten(batch.column(k))) for k in (2, 3))
+            yield _split_batch(batch, endings.cast(pa.large_string()), names.to_pylist())
+
+    joined = narrow.join(own, F.col("_packed") == F.col("_field"), "left").select("_key", "_packed", "_endings", "_names")
+    return joined.mapInArrow(split, f"_key {kind}, pos int, value string, n_values int").withColumnRenamed("_key", key)

@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.heavy_keys import heavy_keys, key_profile
-from millrace.operators.packed import COMMAS, SLASHES, STRONG, split_packed
+from millrace.operators.packed import holds_delimiter, split_by_lists
 from millrace.operators.snapshots import plain_key, snapshot_changes
-from millrace.session import rows_within
 from millrace.sources.tables import table
 
 HEAVY_SHARE = 0.025
 COMPARED = ["title", "location", "department", "pay_min_cents", "description_hash"]
-#: A place list is reference data; a longer one is refused rather than sent to every task.
-MOST_PLACES = 200_000
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,23 +42,16 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_changes"))
 
 
-def place_words(spark: SparkSession, d: str) -> tuple[list[str], list[str]]:
+def place_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The words that follow a place name, and the names that hold a delimiter."""
     places = table(spark, d, "place", "name", "country", "country_name", "subdivision")
-    if not rows_within(places, MOST_PLACES):
-        raise ValueError(f"place has more than {MOST_PLACES} rows")
-    suffixes, whole = set(), set()
-    for name, *words in places.collect():
-        suffixes.update(x for x in words if x)
-        if name and (any(x in name for x in STRONG + SLASHES + COMMAS) or any(f" {w} " in name.lower() for w in ("and", "or", "&"))):
-            whole.add(name)
-    return sorted(suffixes), sorted(whole)
+    words = places.select(F.explode(F.array("country", "country_name", "subdivision")).alias("word")).where("word is not null")
+    return words, places.select("name").where(holds_delimiter(F.col("name")))
 
 
 def p3_values(spark: SparkSession, d: str) -> DataFrame:
-    suffixes, whole = place_words(spark, d)
     once = table(spark, d, "vacancy", "id", "location").dropDuplicates(["id"])
-    return split_packed(once, "id", "location", suffixes, whole).select(
+    return split_by_lists(once, "id", "location", *place_words(spark, d)).select(
         F.col("id").alias("vacancy_id"), "pos", F.col("value").alias("loc_value"), "n_values"
     )
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.operators.heavy_keys import heavy_keys, key_profile
-from millrace.operators.packed import split_packed, split_strings
+from millrace.operators.packed import holds_delimiter, split_by_lists, split_packed, split_strings
 from millrace.operators.snapshots import plain_key, snapshot_changes
 
 T = datetime
@@ -102,6 +102,11 @@ def split(text):
         ("O'Neil's, B", ["O'Neil's", "B"]),
         ('5" pipe; B', ['5" pipe', "B"]),
         ("A; A", ["A", "A"]),
+        ("A+B + C d", ["A", "B", "C d"]),
+        ("N/A", ["N/A"]),
+        ("n/a; B", ["n/a", "B"]),
+        ("Ab/c", ["Ab", "c"]),
+        ("a/Bc/d", ["a", "Bc", "d"]),
         (" ;, / ", []),
         ("", []),
         (None, []),
@@ -126,6 +131,16 @@ def test_split_matches_plain_split(texts):
         assert got.get(i, []) == list(enumerate(plain_split(text), 1))
 
 
+def test_lists_of_any_length_give_the_same_values(spark):
+    texts = ["A, XA; B", "Vey, Lower Town, Land; c", "Saint Vey, Lower Town and Halmen/Ostra", None, "", ";", "Halmen/Ostrava", "x" * 50_000 + "; B", "A+B, xa.ba", "A+B, xa.ba"]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "id long, packed string, _word string")
+    ends = spark.createDataFrame([("XA",), ("xa.ba",), ("Land",), (None,), ("--",)], "a string")
+    whole = spark.createDataFrame([("Vey, Lower Town",), ("Halmen/Ostra",)], "a string").where(holds_delimiter(F.col("a")))
+    one, many = (rows(split_by_lists(df, "id", "packed", ends, whole, most)) for most in (100, 1))
+    assert one == many and (1, 1, "Vey, Lower Town, Land", 2) in one and (6, 2, "Ostrava", 2) in one and len(one) == 14
+    assert split_by_lists(df, "id", "packed", ends.limit(0), whole, 0).where("id = 2").count() == 2
+
+
 def test_split_packed_frame(spark):
     df = spark.createDataFrame([(1, "A; B", "z"), (2, None, "z"), (3, "x" * 200_000, "z"), (1, "A; B", "z")], "id long, packed string, value string")
     got = rows(split_packed(df, "id", "packed").select("id", "pos", F.length("value"), "n_values"))
