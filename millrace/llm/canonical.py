@@ -1,28 +1,35 @@
 """Freely typed values mapped to the closest entry of a reference list.
 
-The distance is the unrestricted Damerau-Levenshtein distance (insert, delete, replace, transpose).
-Unlike its restricted form it obeys the triangle inequality, on which the pruning of the BK-tree
-rests, so the tree returns every entry within the threshold. A reference list of bounded size is
-one tree, sent to all tasks. A longer one is cut into shards, each with a tree of its own; every
-value visits every shard and the shards' winners are merged.
+A value has several readings, in the order to try. A reading that is a listed name is found by a
+join; the names of the others are looked up in BK-trees under the unrestricted Damerau-Levenshtein
+distance (insert, delete, replace, transpose). Unlike its restricted form it obeys the triangle
+inequality, on which the pruning rests, so a tree returns every name within the threshold. There is
+a tree for each length of names, since a name visits only lengths within the threshold of its own.
+A reference list of bounded size is sent to all tasks as such trees. A longer one is cut into
+shards, each of one length; each tree is built once, and each name goes to the shards it can match.
+Either way all matches come back as rows, and the joins that follow decide, so the answer is one.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Set
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import rows_within
+from millrace.session import cut_lineage, rows_within
 
-MOST_EDITS = 2
-#: Entries of a broadcast tree; a longer reference list goes by shards of this many.
-MOST_ENTRIES = 50_000
+#: Edits allowed of a name, from what length one is, and from what length all are.
+MOST_EDITS, LEAST_LENGTH, SECOND_EDIT = 2, 4, 6
+#: Names of broadcast trees; a longer reference list goes by shards of this many.
+MOST_NAMES = 50_000
+#: Names looked up in a shard by one task.
+MOST_ASKED = 2_000
 
 # Letters that have no decomposition, short forms of words, and words that are said
 # of a place beside its name.
@@ -83,66 +90,96 @@ def edit_distance(a: str, b: str) -> int:
 
 @dataclass
 class Tree:
-    """A BK-tree; each name has the payloads of the entries that go by it."""
+    """A BK-tree of names of one length."""
 
-    nodes: list[tuple[str, list, dict[int, int]]] = field(default_factory=list)
-    by_name: dict[str, list] = field(default_factory=dict)
+    nodes: list[tuple[str, dict[int, int]]] = field(default_factory=list)
 
-    def add(self, name: str, payload: object) -> None:
-        if name in self.by_name:
-            self.by_name[name].append(payload)
-            return
-        own = self.by_name[name] = [payload]
+    def add(self, name: str) -> None:
         at = 0
         while self.nodes:
-            word, _, children = self.nodes[at]
+            word, children = self.nodes[at]
             d = edit_distance(name, word)
+            if d == 0:
+                return
             if d not in children:
                 children[d] = len(self.nodes)
                 break
             at = children[d]
-        self.nodes.append((name, own, {}))
+        self.nodes.append((name, {}))
 
-    def within(self, name: str, most: int) -> list[tuple[int, str, list]]:
-        """All (distance, name, payloads) with a distance of at most ``most``."""
+    def within(self, name: str, most: int) -> list[tuple[int, str]]:
+        """All (distance, name) with a distance of at most ``most``."""
         found, stack, letters = [], [0] if self.nodes else [], set(name)
         while stack:
-            word, payloads, children = self.nodes[stack.pop()]
+            word, children = self.nodes[stack.pop()]
             # each letter that only one of two words has takes an edit; below a leaf nothing is left to prune
-            if not children and (abs(len(word) - len(name)) > most or len(letters.difference(word)) > most):
+            if not children and len(letters.difference(word)) > most:
                 continue
             d = edit_distance(name, word)
             if d <= most:
-                found.append((d, word, payloads))
+                found.append((d, word))
             if children:
                 low, high = d - most, d + most
                 stack += [child for far, child in children.items() if low <= far <= high]
         return found
 
 
+def forest(names: list[str]) -> dict[int, Tree]:
+    """A tree for each length of names."""
+    trees: dict[int, Tree] = {}
+    for name in sorted(names):
+        trees.setdefault(len(name), Tree()).add(name)
+    return trees
+
+
+def within(trees: Mapping[int, Tree], name: str, most: int) -> list[tuple[int, str]]:
+    """All (distance, name) of the trees with a distance of at most ``most``."""
+    return [x for n in range(len(name) - most, len(name) + most + 1) if n in trees for x in trees[n].within(name, most)]
+
+
 def edits_allowed(name: str) -> int:
-    return 0 if len(name) < 4 else min(MOST_EDITS, 1 if len(name) < 6 else 2)
+    return 0 if len(name) < LEAST_LENGTH else 1 if len(name) < SECOND_EDIT else MOST_EDITS
 
 
-def readings(value: str, countries: dict[str, str]) -> tuple[list[str], str | None]:
-    """The names a typed value may mean, in the order to try, and the country written to it."""
+def _bare(value: str) -> str:
+    """A value without outer quotes, brackets and closing marks."""
     text = " ".join(value.split())
     while True:
         inner = text.strip(_QUOTES + " .;,/|")
         if len(inner) > 1 and inner[0] == "(" and inner[-1] == ")" and inner.count("(") == inner.count(")") and _closes_last(inner):
             inner = inner[1:-1]
         if inner == text:
-            break
+            return text
         text = inner
+
+
+def _leading(text: str) -> re.Match | None:
+    """A country's code written before the name."""
+    return re.match(r"(\w{2,3})-(?=\S)(.+)$", text)
+
+
+def _parts(text: str) -> list[str]:
+    """What is written between delimiters, without what is only said beside a place."""
+    parts = [part.strip(_QUOTES + " .;,") for part in _BREAKS.split(text)]
+    return [x for x in parts if x and not re.fullmatch(BESIDE, x.lower())]
+
+
+def country_candidates(value: str) -> set[str]:
+    """The words of a value that would be read as a country if they name one."""
+    text = _bare(value)
+    lead = _leading(text)
+    return {x.lower() for x in _parts(text) + (_parts(lead[2]) + [lead[1]] if lead else [])}
+
+
+def readings(value: str, countries: Mapping[str, Set[str]]) -> tuple[list[str], Set[str] | None]:
+    """The names a typed value may mean, in the order to try, and the countries that the last word for one allows."""
+    text = _bare(value)
     names, country = [folded(text)], None
-    lead = re.match(r"(\w{2,3})-(?=\S)(.+)$", text)
+    lead = _leading(text)
     if lead and lead[1].lower() in countries:
         country, text = countries[lead[1].lower()], lead[2]
     parts = []
-    for part in _BREAKS.split(text):
-        bare = part.strip(_QUOTES + " .;,")
-        if not bare or re.fullmatch(BESIDE, bare.lower()):
-            continue
+    for bare in _parts(text):
         if bare.lower() in countries:
             country = countries[bare.lower()]
         else:
@@ -168,87 +205,117 @@ def _closes_last(text: str) -> bool:
     return False
 
 
-def nearest(tree: Tree, value: str, countries: dict[str, str]) -> tuple[int, float, int] | None:
-    """(distance, minus population, id) of the entry meant, or none.
-
-    Entries of the country written to the value are the only ones that count. Of equals the one
-    with the most people counts, then the smallest id.
-    """
-    names, country = readings(value, countries)
-
-    def ranked(found: list[tuple[int, list]]) -> list[tuple[int, float, int]]:
-        return [(d, -(people or 0), ident) for d, payloads in found for ident, home, people in payloads if country is None or home == country]
-
-    for name in names:  # a name as listed needs no search
-        if same := ranked([(0, tree.by_name.get(name, []))]):
-            return min(same)
-    near = ranked([(d, payloads) for name in names for d, _, payloads in tree.within(name, edits_allowed(name))])
-    return min(near, default=None)
-
-
-def map_to_list(values: DataFrame, column: str, entries: DataFrame, countries: dict[str, str], most_entries: int = MOST_ENTRIES) -> DataFrame:
+def map_to_list(values: DataFrame, column: str, entries: DataFrame, countries: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
     """``column, entry_id, edits``: each distinct value with the entry it means; 0 and null if none.
 
     ``entries`` has ``name, entry_id, country, population``, a row for each name of an entry;
-    ``countries`` gives the country code of each lower-cased word that names one. A value's quotes,
-    brackets, closing marks and what is said beside the place are set aside, the rest is compared
-    with case, marks and short forms folded. Null and blank values, and those with no entry within
-    the allowed edits, are unmatched. Null names are skipped. Without entries nothing matches.
+    ``countries`` has ``word, country``, the codes of the countries that a word names, in any letter
+    case. Both may have any size. A value's quotes, brackets, closing marks and what is said beside
+    the place are set aside, the rest is compared with case, marks and short forms folded.
+
+    Entries of the countries that the last country word of a value names are the only ones that
+    count. The first reading that is a listed name decides, without edits; if none is, the reading
+    with the fewest edits. Of equals the entry with the most people counts, then the smallest id.
+    Null and blank values, and those with no entry within the allowed edits, are unmatched. Null
+    names, ids and words are skipped. Without entries nothing matches.
     """
     # values are few bytes and much work, so their partitions go by cores, not by size; by the hash, lest
     # the exchange be taken for the one that distinct has
     tasks = 2 * values.sparkSession.sparkContext.defaultParallelism
-    distinct = values.select(F.col(column).alias("_value")).distinct().repartition(tasks, F.xxhash64("_value"))
-    listed = entries.select("name", "entry_id", "country", "population").where("name is not null and entry_id is not null")
-    if rows_within(listed, most_entries):
-        best = _broadcast_search(distinct, listed, countries)
-    else:
-        best = _sharded_search(distinct, listed, countries, most_entries)
+    distinct = values.select(F.col(column).cast("string").alias("_value")).distinct().repartition(tasks, F.xxhash64("_value"))
+    read = cut_lineage(_read(distinct, countries))
+    listed = _folded(entries.where("name is not null and entry_id is not null"))
+    fits = F.col("_countries").isNull() | F.array_contains("_countries", F.col("country"))
+    worth = [(-F.coalesce("population", F.lit(0))).alias("p"), F.col("entry_id").alias("i")]
+    same = read.join(listed, F.col("_name") == F.col("_listed")).where(fits).groupBy("_value").agg(F.min(F.struct("_rank", *worth)).alias("_best"))
+    exact = cut_lineage(same.select("_value", F.col("_best.i").alias("entry_id"), F.lit(0).alias("edits")))
+    rest = read.join(exact, "_value", "left_anti")
+    asked = rest.select("_name").distinct().where(F.length("_name") >= LEAST_LENGTH).repartition(tasks, F.xxhash64("_name"))
+    near = rest.join(_near_names(asked, listed, most_names), "_name").join(listed, "_listed").where(fits)
+    nearest = near.groupBy("_value").agg(F.min(F.struct("edits", *worth)).alias("_best")).select("_value", F.col("_best.i").alias("entry_id"), F.col("_best.edits").alias("edits"))
+    found = exact.unionByName(nearest).withColumnRenamed("_value", "_found")
+    best = distinct.join(found, F.col("_value") == F.col("_found"), "left")
     return best.select(F.col("_value").alias(column), F.coalesce("entry_id", F.lit(0)).cast("long").alias("entry_id"), "edits")
 
 
-def _search(tree: Tree, frame: pd.DataFrame, countries: dict[str, str]) -> pd.DataFrame:
-    rows = []
-    for value in frame["_value"]:
-        hit = nearest(tree, value, countries) if isinstance(value, str) else None
-        rows.append((value, hit[2], hit[0], -hit[1]) if hit else (value, None, None, None))
-    out = pd.DataFrame(rows, columns=["_value", "entry_id", "edits", "people"])
-    return out.astype({"entry_id": "Int64", "edits": "Int32", "people": "Float64"})
+def _read(distinct: DataFrame, countries: DataFrame) -> DataFrame:
+    """``_value, _rank, _name, _countries``: the readings of each value, and the countries it allows (null for any)."""
 
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(v, w) for v in frame["_value"] for w in country_candidates(v)], columns=["_value", "_word"])
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for value, named in zip(frame["_value"], frame["_named"], strict=True):
+                known: dict[str, set[str]] = {}
+                for pair in named if named is not None else ():
+                    known.setdefault(pair["_word"], set()).add(pair["country"])
+                names, allowed = readings(value, known)
+                rows += [(value, rank, name, None if allowed is None else sorted(allowed)) for rank, name in enumerate(names)]
+            yield pd.DataFrame(rows, columns=["_value", "_rank", "_name", "_countries"])
+
+    given = distinct.where("_value is not null")
+    codes = countries.select(F.lower("word").alias("_word"), "country").where("_word is not null and country is not null").distinct()
+    named = given.mapInPandas(words, "_value string, _word string").join(codes, "_word").groupBy(F.col("_value").alias("_of")).agg(F.collect_set(F.struct("_word", "country")).alias("_named"))
+    both = given.join(named, F.col("_value") == F.col("_of"), "left").select("_value", "_named")
+    return both.mapInPandas(read, "_value string, _rank int, _name string, _countries array<string>")
+
+
+def _folded(entries: DataFrame) -> DataFrame:
+    """``_listed, entry_id, country, population`` with the folded name of each entry."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["_listed"] = [folded(x) for x in frame["_listed"]]
+            yield frame
 
-_FOUND = "_value string, entry_id long, edits int, people double"
+    narrow = entries.select(F.col("name").alias("_listed"), F.col("entry_id").cast("long"), F.col("country").cast("string"), F.col("population").cast("double"))
+    return cut_lineage(narrow.mapInPandas(fold, "_listed string, entry_id long, country string, population double").distinct())
 
 
-def _tree(rows: Sequence) -> Tree:
-    tree = Tree()
-    for name, ident, country, people in sorted(rows, key=lambda r: (r[1], r[0])):
-        tree.add(folded(name), (ident, country, people))
-    return tree
+_MATCHES = "_name string, _listed string, edits int"
 
 
-def _broadcast_search(distinct: DataFrame, listed: DataFrame, countries: dict[str, str]) -> DataFrame:
-    tree = distinct.sparkSession.sparkContext.broadcast(_tree([tuple(r) for r in listed.collect()]))
+def _matches(trees: Mapping[int, Tree], names: pd.Series) -> pd.DataFrame:
+    rows = [(name, listed, d) for name in names for d, listed in within(trees, name, edits_allowed(name))]
+    return pd.DataFrame(rows, columns=["_name", "_listed", "edits"])
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield _search(tree.value, frame, countries)
 
-    return distinct.mapInPandas(find, _FOUND)
+def _near_names(asked: DataFrame, listed: DataFrame, most: int) -> DataFrame:
+    """``_name, _listed, edits``: the listed names within the allowed edits of each name."""
+    names = listed.select("_listed").distinct()
+    if rows_within(names, most):
+        trees = asked.sparkSession.sparkContext.broadcast(forest([r[0] for r in names.collect()]))
+
+        def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield _matches(trees.value, frame["_name"])
 
+        return asked.mapInPandas(find, _MATCHES)
 
-def _sharded_search(distinct: DataFrame, listed: DataFrame, countries: dict[str, str], size: int) -> DataFrame:
-    shards = max(1, -(-listed.count() // size)) * 2
-    parts = 16  # of the values of a shard, so that no task gets all of them
-    tagged = listed.withColumn("_shard", F.pmod(F.xxhash64("entry_id"), F.lit(shards)).cast("int"))
-    trees = tagged.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = distinct.withColumn("_part", F.pmod(F.xxhash64("_value"), F.lit(parts)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    def grow(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_size": frame["_size"].iloc[:1], "_shard": frame["_shard"].iloc[:1], "_tree": [pickle.dumps(forest(frame["_listed"].tolist()))]})
 
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search(_tree(list(right[["name", "entry_id", "country", "population"]].itertuples(index=False, name=None))), left, countries)
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _matches(pickle.loads(right["_tree"].iloc[0]), left["_name"]) if len(right) else _matches({}, left["_name"])
 
-    found = asked.groupBy("_shard", "_part").cogroup(trees.groupBy("_shard", "_part")).applyInPandas(find, _FOUND)
-    order = F.when(F.col("entry_id").isNotNull(), F.struct("edits", (-F.col("people")).alias("p"), "entry_id"))
-    best = found.groupBy("_value").agg(F.min(order).alias("_best"))
-    return best.select("_value", F.col("_best.entry_id").alias("entry_id"), F.col("_best.edits").alias("edits"))
+    def by_length(df: DataFrame, length: str, size: int, name: str) -> DataFrame:
+        """The number of parts of at most about ``size`` of the rows of each length."""
+        return df.groupBy(length).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
+    def part(name: str, parts: str):
+        return F.pmod(F.xxhash64(name), F.col(parts)).cast("int")
 
+    one = names.withColumn("_size", F.length("_listed"))
+    shards = by_length(one, "_size", most, "_shards")
+    trees = cut_lineage(one.join(shards, "_size").withColumn("_shard", part("_listed", "_shards")).groupBy("_size", "_shard").applyInPandas(grow, "_size int, _shard int, _tree binary"))
+    edits = F.when(F.length("_name") < SECOND_EDIT, 1).otherwise(MOST_EDITS)  # as edits_allowed has it
+    sizes = F.explode(F.sequence(F.length("_name") - edits, F.length("_name") + edits))
+    sized = asked.select("_name", sizes.alias("_size")).join(shards, "_size")
+    parts = by_length(sized, "_size", MOST_ASKED, "_parts")
+    sent = sized.join(parts, "_size").withColumn("_part", part("_name", "_parts")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)))
+    held = trees.join(parts, "_size").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    keys = ["_size", "_shard", "_part"]
+    return sent.select(*keys, "_name").groupBy(*keys).cogroup(held.select(*keys, "_tree").groupBy(*keys)).applyInPandas(look, _MATCHES)

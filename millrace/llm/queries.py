@@ -13,12 +13,9 @@ from millrace.llm.near_duplicates import expanded_pairs, linked_groups, near_pai
 from millrace.llm.packing import pack, sequences
 from millrace.llm.sentences import sentence_units, train_on
 from millrace.llm.tokens import sized_texts
-from millrace.session import cut_lineage, rows_within
+from millrace.session import cut_lineage
 from millrace.sources.tables import table
 
-#: A list of countries is reference data; a longer one is refused rather than sent to every task.
-MOST_COUNTRY_WORDS = 100_000
-
 
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "vacancy", "id", "language", "description")
@@ -41,11 +38,10 @@ def place_entries(spark: SparkSession, d: str) -> DataFrame:
     return named.unionByName(also.select(F.col("alias_name").alias("name"), F.col("id").alias("entry_id"), "country", "population"))
 
 
-def country_words(spark: SparkSession, d: str) -> dict[str, str]:
-    words = table(spark, d, "place", "country", "country_name", "subdivision").distinct()
-    if not rows_within(words, MOST_COUNTRY_WORDS):
-        raise ValueError(f"place has more than {MOST_COUNTRY_WORDS} country words")
-    return {w.lower(): row["country"] for row in words.collect() if row["country"] for w in row if w}
+def country_words(spark: SparkSession, d: str) -> DataFrame:
+    """``word, country``: the codes, names and subdivisions of each country."""
+    places = table(spark, d, "place", "country", "country_name", "subdivision").distinct()
+    return places.select("country", F.explode(F.array("country", "country_name", "subdivision")).alias("word"))
 
 
 def p5_mapped(spark: SparkSession, d: str) -> DataFrame:
