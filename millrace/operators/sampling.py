@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,14 @@ def draw_order(ident: str, seed: int) -> Column:
 def largest_remainder(sizes: DataFrame, stratum: str, size: str, total: int) -> DataFrame:
     """``stratum, size, drawn``: ``total`` shared out by size; what the floors leave goes to the largest remainders.
 
-    Equal remainders go by name. Strata are few, so they are ranked in one window.
+    Equal remainders go by name. The largest are found by a distributed top-k, so strata may be many.
     """
     everything = sizes.agg(F.sum(size)).scalar()
     share = sizes.select(stratum, size, (F.col(size) * F.lit(total) / everything).alias("_exact")).withColumn("_floor", F.floor("_exact"))
-    left = F.lit(total) - F.sum("_floor").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc(F.col("_exact") - F.col("_floor")), stratum))
-    return share.withColumn("_rank", rank).withColumn("_left", left).select(stratum, size, (F.col("_floor") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).alias("drawn"))
+    left = total - (share.agg(F.sum("_floor")).first()[0] or 0)
+    more = share.where("_exact is not null").orderBy(F.desc(F.col("_exact") - F.col("_floor")), stratum).limit(left).select(F.col(stratum).alias("_more"))
+    joined = share.join(more, F.col(stratum).eqNullSafe(F.col("_more")) & F.col(stratum).isNotNull(), "left")
+    return joined.select(stratum, size, (F.col("_floor") + F.col("_more").isNotNull().cast("int")).alias("drawn"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, ident: str, per_stratum: int, seed: int) -> DataFrame:
@@ -54,19 +57,26 @@ def precision_by_cell(labels: DataFrame, cell: str, answer: str, weight: DataFra
 def bootstrap_interval(df: DataFrame, value: str, resamples: int, seed: int, levels: Sequence[float] = (0.025, 0.975)) -> DataFrame:
     """``low, high``: percentiles of the mean over seeded resamples, each row drawn a Poisson number of times.
 
-    Poisson counts stand for draws with replacement, so no row has to be looked up by its number and
-    the resamples are made in one pass: each task sums weight and weighted value of each resample.
+    Poisson counts stand for draws with replacement. Those of n equal values sum to a Poisson number of
+    mean n, so the rows are first counted by value and all resamples of a value are drawn as one array,
+    seeded by it: the result depends on the values and the seed, not on how they are partitioned. Each
+    task adds up one array of weights and one of weighted values. Nulls don't count; without values
+    both bounds are null.
     """
-    draw = F.explode(F.sequence(F.lit(1), F.lit(resamples)))
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_i")).withColumn("_r", draw)
-    u = (F.pmod(F.xxhash64("_i", "_r", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    counts, at, chance = F.lit(0), 1.0 / 2.718281828459045, 1.0 / 2.718281828459045
-    for k in range(1, 9):
-        counts = counts + F.when(u > at, 1).otherwise(0)
-        chance /= k
-        at += chance
-    means = rows.withColumn("_w", counts).groupBy("_r").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
-    return means.agg(F.percentile("_m", levels[0]).alias("low"), F.percentile("_m", levels[1]).alias("high"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight, weighted = np.zeros(resamples), np.zeros(resamples)
+        for frame in frames:
+            for v, n in zip(frame["v"].tolist(), frame["n"].tolist(), strict=True):
+                drawn = np.random.default_rng([seed, *np.frombuffer(np.float64(v).tobytes(), np.uint32)]).poisson(n, resamples)
+                weight += drawn
+                weighted += drawn * v
+        yield pd.DataFrame({"r": range(resamples), "w": weight, "wv": weighted})
+
+    sums = counts.mapInPandas(draw, "r int, w double, wv double").groupBy("r").agg((F.sum("wv") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    mean = F.round("m", 9)  # sums of doubles differ in their last places with the order of the tasks
+    return sums.agg(F.percentile(mean, levels[0]).alias("low"), F.percentile(mean, levels[1]).alias("high"))
 
 
 def confusion(df: DataFrame, expected: str, found: str, states: Sequence[str]) -> DataFrame:

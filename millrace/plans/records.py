@@ -17,22 +17,6 @@ from millrace.sources.tables import table
 COMPARED = ["title", "location", "department", "pay_min_cents", "description_hash"]
 
 
-def _snapshot(spark: SparkSession, d: str, number: int) -> DataFrame:
-    rows = table(spark, d, "vacancy_snapshot", "snapshot_no", "company_id", "external_id", *COMPARED).where(F.col("snapshot_no") == number)
-    clean = rows.withColumn("external_id", F.lower(F.trim(F.regexp_replace("external_id", r"\s", ""))))
-    return clean.groupBy("company_id", "external_id").agg(F.max(F.struct(*COMPARED)).alias("r")).select("company_id", "external_id", "r.*")
-
-
-def mirror_report(spark: SparkSession, d: str) -> DataFrame:
-    return mirror.reconcile(_snapshot(spark, d, 1), _snapshot(spark, d, 2), "company_id", "external_id", COMPARED)[1]
-
-
-def mirror_gated(spark: SparkSession, d: str) -> DataFrame:
-    """Only boards that are active or not found take part; the others keep what they hold."""
-    outcome = table(spark, d, "company", "id", "board_status").select(F.col("id").alias("company_id"), F.when(F.col("board_status") == "ACTIVE", "published").when(F.col("board_status") == "NOT_FOUND", "not_found").otherwise("unreadable").alias("outcome"))
-    return mirror.reconcile(_snapshot(spark, d, 1), _snapshot(spark, d, 2), "company_id", "external_id", COMPARED, outcome)[0].groupBy("company_id").agg(F.count(F.lit(1)).alias("n_held"))
-
-
 def _mirrored(spark: SparkSession, d: str, outcome: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All snapshots mirrored one after the other into the first: what is held, and a report by snapshot and company.
 
@@ -53,7 +37,7 @@ def _mirrored(spark: SparkSession, d: str, outcome: DataFrame | None = None) ->
 
 
 def snapshot_mirror(spark: SparkSession, d: str) -> DataFrame:
-    """What each snapshot after the first changes, by company; mirror_report has the first two by a simpler key."""
+    """What each snapshot after the first changes, by company."""
     return _mirrored(spark, d)[1]
 
 
@@ -66,14 +50,14 @@ def _outcome(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "company", "id", "board_status").select(F.col("id").alias("company_id"), F.when(F.col("board_status") == "ACTIVE", "published").when(F.col("board_status") == "NOT_FOUND", "not_found").otherwise("unreadable").alias("outcome"))
 
 
-def vacancy_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "vacancy", "id", "company_id", "title", "location", "description", "first_published_at")
-    own = rows.groupBy("id").agg(F.first("company_id").alias("company_id"), F.first("title").alias("title"), F.first("location").alias("location"), F.first(F.sha2("description", 256)).alias("digest"), F.min("first_published_at").alias("first_published_at"))
-    return exact_duplicates(own, "id", "company_id", [F.col("location")], F.col("title"), "first_published_at")
+def document_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of equal text, whatever their source; the one kept is of the source that had the text first."""
+    rows = table(spark, d, "documents", "doc_id", "source", "text", "fetched_at")
+    return exact_duplicates(rows, "doc_id", "source", [], F.col("text"), "fetched_at")
 
 
 def opening_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Openings of one slug, title, location, mode and description that repeat another; vacancy_duplicates compares no descriptions."""
+    """Openings of one slug, title, location, mode and description that repeat another."""
     rows = table(spark, d, "vacancy", "id", "company_id", "title", "location", "workplace_type", "description", "first_published_at").dropDuplicates(["id"])
     slugs = table(spark, d, "company", F.col("id").alias("company_id"), "slug").dropDuplicates(["company_id"])
     own = rows.join(slugs, "company_id", "left").withColumn("slug", F.coalesce(F.concat(F.lit("s"), "slug"), F.concat(F.lit("b"), F.col("company_id").cast("string"))))
@@ -162,12 +146,19 @@ def department_nearness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def places_within(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of places at most 500 km apart; a grid of 10 degrees of latitude keeps far ones from meeting."""
-    p = table(spark, d, "place", "id", "latitude", "longitude").withColumn("band", F.floor(F.col("latitude") / 10).cast("int"))
-    near = p.select("id", "latitude", "longitude", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    """Pairs of places at most 500 km apart; only those in the same or neighbouring cubes of 500 km meet, whatever their latitude."""
+    radius, side = 6371.0, 500.0
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    p = table(spark, d, "place", "id", "latitude", "longitude").where("latitude is not null and longitude is not null")
+    p = p.select("*", *(F.floor(v * radius / side).cast("int").alias(k) for k, v in axes.items()))
+    near = p
+    for k in axes:
+        near = near.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
     a, b = p.alias("a"), near.alias("b")
     km = haversine_km(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude"))
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(km, 3).alias("km")).where("km <= 500")
+    meet = (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.z") == F.col("b.z")) & (F.col("a.id") < F.col("b.id"))
+    return a.join(b, meet).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(km, 3).alias("km")).where("km <= 500")
 
 
 def language_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -236,28 +227,35 @@ def label_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    mirror_report, mirror_gated, snapshot_mirror, snapshot_mirror_gated, vacancy_duplicates, opening_duplicates, company_names, companies_added, recorded_outputs, surviving_outputs, regions_by_url, after_page, supported_scope,
+    snapshot_mirror, snapshot_mirror_gated, document_duplicates, opening_duplicates, company_names, companies_added, recorded_outputs, surviving_outputs, regions_by_url, after_page, supported_scope,
     declared_locations, work_modes, seniority_tally, mode_pivot, pay_percentiles, slug_concentration, department_nearness, places_within, language_agreement,
     sample_allocation, seeded_sample, mean_interval, user_gaps, event_spans, last_events, hourly_values, large_orders, price_summary, label_similarity,
 )}
 
-_SNAP = """WITH s AS (SELECT snapshot_no, company_id, lower(regexp_replace(external_id, '\\s', '', 'g')) AS external_id, title, location, department, pay_min_cents, description_hash FROM vacancy_snapshot),
-  o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY snapshot_no, company_id, external_id ORDER BY title DESC NULLS LAST, location DESC NULLS LAST, department DESC NULLS LAST, pay_min_cents DESC NULLS LAST, description_hash DESC NULLS LAST) = 1),
-  j AS (SELECT coalesce(h.company_id, p.company_id) AS company_id, h.company_id IS NULL AS fresh, p.company_id IS NULL AS gone,
-      (h.title, h.location, h.department, h.pay_min_cents, h.description_hash) IS DISTINCT FROM (p.title, p.location, p.department, p.pay_min_cents, p.description_hash) AS differs
-    FROM (SELECT * FROM o WHERE snapshot_no = 1) h FULL JOIN (SELECT * FROM o WHERE snapshot_no = 2) p USING (company_id, external_id))"""
+_SNAP = """WITH t AS (SELECT *, lower(trim(external_id, ' ' || chr(9) || chr(10) || chr(13))) AS bare FROM vacancy_snapshot),
+  s AS (SELECT snapshot_no, company_id, CASE WHEN regexp_full_match(bare, '[0-9]+') THEN regexp_replace(bare, '^0+([0-9])', '\\1') ELSE bare END AS k, updated_at, title, location, department, pay_min_cents, description_hash FROM t),
+  o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY snapshot_no, company_id, k ORDER BY updated_at DESC NULLS LAST, title DESC NULLS LAST, location DESC NULLS LAST) = 1)"""
+
+_SAME = r"lower(trim(regexp_replace(coalesce({0}, ''), '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{3000}}]+', ' ', 'g')))"
+_KEPT = """e AS (SELECT *, first_value(board) OVER (PARTITION BY k ORDER BY f ASC NULLS LAST, ident) AS first_board FROM b),
+        w AS (SELECT *, first_value(ident) OVER (PARTITION BY k ORDER BY (board = first_board) DESC, f DESC NULLS LAST, ident DESC) AS kept_id FROM e)"""
 
 _WILSON = "round((hits / total::DOUBLE + 3.8416 / (2 * total) {0} 1.96 * sqrt(hits / total::DOUBLE * (1 - hits / total::DOUBLE) / total + 3.8416 / (4 * total::DOUBLE * total))) / (1 + 3.8416 / total), 6)"
 
 ORACLES = {
-    "mirror_report": _SNAP + "SELECT company_id, count(*) FILTER (fresh) AS added, count(*) FILTER (NOT fresh AND NOT gone AND differs) AS updated, count(*) FILTER (gone) AS deleted FROM j GROUP BY 1",
-    "mirror_gated": _SNAP + """SELECT j.company_id, count(*) AS n_held FROM j LEFT JOIN company c ON c.id = j.company_id
-        WHERE CASE WHEN c.board_status IN ('ACTIVE', 'NOT_FOUND') THEN NOT gone ELSE NOT fresh END GROUP BY 1""",
-    "vacancy_duplicates": """WITH v AS (SELECT id, any_value(company_id) AS company_id, any_value(title) AS title, any_value(location) AS location, min(first_published_at) AS f FROM vacancy GROUP BY id),
-        k AS (SELECT *, lower(trim(regexp_replace(coalesce(location, ''), '[\\s\\x{00a0}]+', ' ', 'g'))) AS kl, lower(trim(regexp_replace(coalesce(title, ''), '[\\s\\x{00a0}]+', ' ', 'g'))) AS kt FROM v),
-        e AS (SELECT *, first_value(company_id) OVER (PARTITION BY kl, kt ORDER BY f ASC NULLS LAST, id) AS board FROM k WHERE kt <> ''),
-        w AS (SELECT *, first_value(id) OVER (PARTITION BY kl, kt ORDER BY (company_id = board) DESC, f DESC NULLS LAST, id DESC) AS kept_id FROM e)
-        SELECT id, kept_id FROM w WHERE id <> kept_id""",
+    "snapshot_mirror": _SNAP + """, j AS (SELECT coalesce(p.snapshot_no, h.snapshot_no + 1) AS snapshot_no, coalesce(p.company_id, h.company_id) AS company_id, h.k IS NULL AS fresh, p.k IS NULL AS gone,
+          (h.title, h.location, h.department, h.pay_min_cents, h.description_hash) IS DISTINCT FROM (p.title, p.location, p.department, p.pay_min_cents, p.description_hash) AS differs
+        FROM o h FULL JOIN o p ON p.company_id = h.company_id AND p.k = h.k AND p.snapshot_no = h.snapshot_no + 1)
+        SELECT snapshot_no, company_id, count(*) FILTER (fresh) AS added, count(*) FILTER (NOT fresh AND NOT gone AND differs) AS updated, count(*) FILTER (gone) AS deleted
+        FROM j WHERE snapshot_no BETWEEN 2 AND (SELECT max(snapshot_no) FROM o) GROUP BY 1, 2""",
+    "snapshot_mirror_gated": _SNAP + """SELECT o.company_id, count(*) AS n_held FROM o LEFT JOIN company c ON c.id = o.company_id
+        WHERE o.snapshot_no = CASE WHEN c.board_status IN ('ACTIVE', 'NOT_FOUND') THEN (SELECT max(snapshot_no) FROM o) ELSE (SELECT min(snapshot_no) FROM o) END GROUP BY 1""",
+    "document_duplicates": f"""WITH b AS (SELECT doc_id AS ident, source AS board, fetched_at AS f, {_SAME.format('text')} AS k FROM documents WHERE {_SAME.format('text')} <> ''),
+        {_KEPT} SELECT ident AS doc_id, kept_id FROM w WHERE ident <> kept_id""",
+    "opening_duplicates": f"""WITH v AS (SELECT id, any_value(company_id) AS company_id, any_value(title) AS title, any_value(location) AS location, any_value(workplace_type) AS mode, any_value(description) AS description, any_value(first_published_at) AS f FROM vacancy GROUP BY id),
+        b AS (SELECT v.id AS ident, company_id AS board, f, (coalesce(c.slug, company_id::VARCHAR), {_SAME.format('title')}, {_SAME.format('location')}, {_SAME.format('mode')}, {_SAME.format('description')}) AS k
+          FROM v LEFT JOIN company c ON c.id = v.company_id WHERE {_SAME.format('description')} <> ''),
+        {_KEPT} SELECT ident AS id, kept_id FROM w WHERE ident <> kept_id""",
     "company_names": """WITH c AS (SELECT slug, name, count(*) AS n, min(id) AS first_id FROM company WHERE trim(name) <> '' GROUP BY 1, 2)
         SELECT slug, name, n FROM c QUALIFY row_number() OVER (PARTITION BY slug ORDER BY n DESC, first_id) = 1""",
     "companies_added": "SELECT ats, region, count(*) AS n FROM company WHERE region = 'US' OR (region = 'EU' AND (ats, slug) NOT IN (SELECT (ats, slug) FROM company WHERE region = 'US')) GROUP BY 1, 2",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,17 +15,14 @@ def follow_snapshots(spark: SparkSession, arriving: str, schema: str, mirror: st
     """Mirror the records of each batch of files that arrives; a scope with records in it is replaced by them.
 
     Each batch writes ``mirror/batch=N``, complete, so a batch that is run again writes the same; the
-    last one is the mirror.
+    last one is the mirror. Batch 0 begins with an empty one; a later batch whose predecessor can't be
+    read fails, so that no scope is lost.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         published = batch.groupBy(scope, key).agg(F.max(F.struct(*compared)).alias("_r")).select(scope, key, "_r.*")
-        before = f"{mirror}/batch={number - 1}"
-        try:
-            held = session.read.parquet(before)
-        except AnalysisException:  # the first batch
-            held = published.limit(0)
+        held = session.read.parquet(f"{mirror}/batch={number - 1}") if number else published.limit(0)
         outcome = published.select(scope).distinct().withColumn("outcome", F.lit("published"))
         reconcile(held, published, scope, key, compared, outcome)[0].write.mode("overwrite").parquet(f"{mirror}/batch={number}")
 
