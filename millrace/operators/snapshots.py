@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
 
@@ -38,17 +40,18 @@ def snapshot_changes(
     has nothing before it and gives no rows, nor does a table with one snapshot or none. Snapshot
     numbers need not be consecutive: each is held against the next smaller one present.
 
-    Plan: one aggregation to a row (key, snapshot, hash), then a full outer join of that result
-    with itself, each row renumbered to the snapshot that follows its own. Only the key and
-    16 bytes of state are shuffled. The snapshot numbers, one a delivery, are one array.
+    Plan: one aggregation to a row (key, snapshot, hash), written once, then a full outer join of that
+    result with itself, each row renumbered to the snapshot that follows its own. The table is read
+    once; only the key and 16 bytes of state are shuffled. The snapshot numbers, one a delivery, are
+    one array.
     """
-    state = (
+    state = cut_lineage(
         df.select(F.col(snapshot).alias("_s"), *(v.alias(k) for k, v in keys.items()), row_hash(compared).alias("_h"), F.col(updated).alias("_u"))
         .where(F.col("_s").isNotNull())
         .groupBy("_s", *keys)
         .agg(F.max(F.struct("_u", "_h")).getField("_h").alias("_h"))
     )
-    numbers = df.where(F.col(snapshot).isNotNull()).agg(F.sort_array(F.collect_set(snapshot))).scalar()
+    numbers = state.agg(F.sort_array(F.collect_set("_s"))).scalar()
     place = F.array_position(numbers, F.col("_s")).cast("int")
     now = state.where(place > 1).select("_s", *keys, F.col("_h").alias("_now"))
     before = (
