@@ -189,3 +189,22 @@ def extract_entries(df: DataFrame, key: str, text: str, entries: Iterable[Entry]
 
     narrow = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return narrow.mapInPandas(find, f"_key {kind}, entry string, segments array<int>, from_context boolean").withColumnRenamed("_key", key)
+
+
+def extract_from_segments(df: DataFrame, key: str, title: str, segments: str, entries: Iterable[Entry]) -> DataFrame:
+    """``key, entry, segments, from_context``: as ``extract_entries``, over a record's title and segments.
+
+    ``segments`` is a column as ``operators.segments`` gives it. The title is segment -1; segments that
+    are boilerplate are passed over, the others keep their number from 0. Null titles and arrays have
+    no mentions. A record given twice counts once; its copies must agree.
+    """
+    numbered = F.filter(F.transform(F.col(segments), lambda s, i: F.struct(i.alias("n"), s["text"].alias("text"), F.coalesce(s["boilerplate"], F.lit(False)).alias("skip"))), lambda x: ~x["skip"])
+    first = F.array(F.struct(F.lit(-1).alias("n"), F.coalesce(title, F.lit("")).alias("text"), F.lit(False).alias("skip")))
+    pieces = F.concat(first, F.coalesce(numbered, F.array().cast("array<struct<n:int,text:string,skip:boolean>>")))
+    joined = df.select(F.col(key), pieces.alias("_pieces")).dropDuplicates([key]).select(
+        F.col(key), F.col("_pieces.n").alias("_numbers"), F.array_join(F.transform("_pieces.text", lambda t: F.translate(t, "\n", " ")), "\n").alias("_text")
+    )
+    found = extract_entries(joined, key, "_text", entries)
+    numbers = joined.select(F.col(key).alias("_k"), "_numbers")
+    both = found.join(numbers, F.col(key).eqNullSafe(F.col("_k")))
+    return both.select(key, "entry", F.transform("segments", lambda i: F.get("_numbers", i)).alias("segments"), "from_context")

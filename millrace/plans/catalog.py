@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from millrace.plans import derived, found, records, texts
+from millrace.plans import derived, found, records, scored, texts
 
-QUERIES = {**found.QUERIES, **texts.QUERIES, **records.QUERIES, **derived.QUERIES}
-ORACLES = {**found.ORACLES, **texts.ORACLES, **records.ORACLES, **derived.ORACLES}
+QUERIES = {**found.QUERIES, **texts.QUERIES, **records.QUERIES, **derived.QUERIES, **scored.QUERIES}
+ORACLES = {**found.ORACLES, **texts.ORACLES, **records.ORACLES, **derived.ORACLES, **scored.ORACLES}

@@ -35,7 +35,10 @@ def title_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_forms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "company", "id", "name").select("id", T.name_form(F.col("name")).alias("form"), T.folded(F.col("name")).alias("folded"))
+    """Keys of the names of companies and, numbered below 0, of the titles of openings."""
+    titles = table(spark, d, "vacancy", "id", "title").distinct().select((-1 - F.col("id")).alias("id"), F.col("title").alias("name"))
+    names = table(spark, d, "company", "id", "name").unionByName(titles)
+    return names.select("id", T.name_form(F.col("name")).alias("form"), T.folded(F.col("name")).alias("folded"))
 
 
 def description_cleaning(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +158,10 @@ QUERIES = {f.__name__: f for f in (
     heading_lines, one_line_sentences, description_segments, title_states, title_fields, topics_found, topic_histogram, addresses, discovered_boards,
 )}
 
+#: SQL of a name's form: what T.name_form gives.
+NAME_FORM = r"""CASE WHEN regexp_full_match(lower(trim({0})), '[\s_/-]*') THEN lower(trim({0})) ELSE regexp_extract(lower(trim({0})), '^[\s_/-]*')
+  || regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[\s_/-]+', ''), '[\s_/-]+$', ''), '[\s_/-]+', ' ', 'g') || regexp_extract(lower(trim({0})), '[\s_/-]*$') END"""
+
 _V = "WITH v AS (SELECT id, any_value(title) AS title, any_value(description) AS description, any_value(url) AS url FROM vacancy GROUP BY id)"
 
 
@@ -174,7 +181,22 @@ def _sql_language(column: str) -> str:
 
 
 ORACLES = {
-    "name_forms": r"""SELECT id, lower(trim(name)) AS form, lower(trim(regexp_replace(coalesce(name, ''), '\s+', ' ', 'g'))) AS folded FROM company""",
+    "name_forms": rf"""WITH n AS (SELECT id, name FROM company UNION ALL SELECT -1 - id, title FROM (SELECT DISTINCT id, title FROM vacancy))
+        SELECT id, {NAME_FORM.format('name')} AS form, lower(trim(regexp_replace(coalesce(name, ''), '\s+', ' ', 'g'))) AS folded FROM n""",
+    "title_fields": _V + rf""", t AS (SELECT id, string_split_regex({NAME_FORM.format('title')}, '\s+') AS w FROM v WHERE trim(title) <> ''),
+        g AS (SELECT id, i AS pos, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM t, range(1, 3) r(k), range(1, 200) s(i) WHERE i + k - 1 <= len(w)),
+        d AS (SELECT unnest([{', '.join(f"'{p}'" for p in FIELDS)}]) AS phrase),
+        b AS (SELECT id, phrase FROM g JOIN d USING (phrase) QUALIFY row_number() OVER (PARTITION BY id ORDER BY size DESC, pos) = 1)
+        SELECT v.id, upper(b.phrase) AS label FROM v LEFT JOIN b USING (id)""",
+    "description_cleaning": _V + r""", c AS (SELECT id, description, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(description, '[^\p{L}\p{N}\p{M}\p{P}\p{Sc}\p{Sm}\p{Sk}\n\r]', ' ', 'g'), '[\x{FE00}-\x{FE0F}]|[\x{E0100}-\x{E01EF}]', ' ', 'g'), '\r\n|[\n\r]'),
+          lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS lines FROM v)
+        SELECT id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT id, CASE WHEN description IS NULL THEN NULL ELSE coalesce(array_to_string(lines, chr(10)), '') END AS t FROM c)""",
+    "heading_lines": _V + r""", l AS (SELECT regexp_replace(trim(unnest(string_split(description, chr(10)))), '^(> )?# ', '') AS line FROM v),
+        w AS (SELECT line, string_split_regex(lower(regexp_replace(line, ':$', '')), '\s+') AS words FROM l WHERE line <> '')
+        SELECT line, count(*) AS n FROM w WHERE length(line) <= 60 AND NOT regexp_matches(line, '[.!?]\s*$')
+          AND (regexp_matches(line, ':\s*$') OR line = upper(line) AND length(regexp_replace(line, '[^\p{L}]', '', 'g')) >= 4
+            OR len(words) <= 4 AND (words[1] IN ('requirements', 'benefits', 'responsibilities', 'team', 'role') OR words[-1] IN ('requirements', 'benefits', 'responsibilities', 'team', 'role')))
+        GROUP BY line""",
     "word_tokens": _V + r""", w AS (SELECT id, unnest(regexp_extract_all(description, '[\p{L}\p{N}]+(?:[.&''-][\p{L}\p{N}]+)*[+#]*')) AS word FROM v)
         SELECT lower(word) AS word, count(*) AS n_uses, count(DISTINCT id) AS n_openings FROM w GROUP BY lower(word) HAVING count(DISTINCT id) >= 10""",
     "detected_languages": f"SELECT doc_id, {_sql_language('text')} AS detected FROM documents",
