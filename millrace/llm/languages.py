@@ -91,8 +91,8 @@ def train_words(labelled: DataFrame, text: str, label: str, seed: int = 1) -> di
     The sample is the rows whose hash is below the share that makes MOST_TRAINING_ROWS of them; of
     each language the MOST_WORDS commonest words are kept. So what reaches the driver is bounded.
     """
-    rows = labelled.select(F.col(text).alias("_text"), named_language(F.col(label)).alias("_lang")).where("_lang is not null and length(_text) > 0")
-    share = min(1.0, MOST_TRAINING_ROWS / max(1, rows.count()))
+    rows = labelled.select(F.col(text).alias("_text"), named_language(F.col(label)).alias("_lang")).where("_lang is not null")
+    share = min(1.0, MOST_TRAINING_ROWS / max(1, rows.count()))  # reads the labels only
     pick = F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +107,7 @@ def train_words(labelled: DataFrame, text: str, label: str, seed: int = 1) -> di
                 counts.clear()
         yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["lang", "word", "n"])
 
-    words = rows.where(pick).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = rows.where("length(_text) > 0").where(pick).mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = words.where("n > 1").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_r") <= MOST_WORDS)
     model: dict[str, dict[str, int]] = {}
     for lang, word, n in best.select("lang", "word", "n").collect():
