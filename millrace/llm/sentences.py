@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample, in documents and characters; it is picked by the hash of the text.
-MOST_TRAINING_DOCUMENTS, MOST_TRAINING_CHARACTERS = 4_000, 20_000_000
+#: Bounds of the training sample, in documents and characters, and of one document in it; it is picked by the hash of the text.
+MOST_TRAINING_DOCUMENTS, MOST_TRAINING_CHARACTERS, LONGEST_TRAINED = 4_000, 20_000_000, 50_000
 #: Line lengths between which a text can be one whose lines were broken at a fixed width.
 LEAST_WIDTH, MOST_WIDTH = 60, 80
 
@@ -360,15 +360,24 @@ def units_of(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 
 def train_on(df: DataFrame, text: str) -> Model:
-    """A model from a sample within both bounds (about), of whole documents picked by the hash of their text.
+    """A model from a sample within the bounds (about), of whole distinct documents picked by the hash of their text.
 
-    A document that alone has more than a hundredth of the characters allowed is no part of it.
+    The number of rows, which tells the share to pick, needs no text; so the texts are read once. What
+    is collected is bounded by MOST_TRAINING_DOCUMENTS times LONGEST_TRAINED characters, about, and
+    cut to MOST_TRAINING_CHARACTERS in order of the hash. Longer documents are no part of it. A text
+    that stands in many rows counts once.
     """
-    rows = df.select(F.col(text).alias("_text")).where(f"length(trim(_text)) > 0 and length(_text) <= {MOST_TRAINING_CHARACTERS // 100}")
-    documents, characters = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
-    share = min(1.0, MOST_TRAINING_DOCUMENTS / max(1, documents), MOST_TRAINING_CHARACTERS / max(1, characters))
+    rows = df.select(F.col(text).alias("_text"))
+    share = min(1.0, MOST_TRAINING_DOCUMENTS / max(1, rows.count()))
     pick = F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20))
-    return train([r[0] for r in rows.where(pick).orderBy(F.xxhash64("_text"), "_text").collect()])
+    some = rows.where(f"length(_text) <= {LONGEST_TRAINED}").where(pick).where("trim(_text) <> ''").distinct()
+    texts, size = [], 0
+    for _, body in sorted(some.select(F.xxhash64("_text"), "_text").collect()):
+        size += len(body)
+        if size > MOST_TRAINING_CHARACTERS:
+            break
+        texts.append(body)
+    return train(texts)
 
 
 def sentence_units(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
