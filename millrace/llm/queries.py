@@ -158,6 +158,13 @@ f AS (SELECT slug, letters FROM k WHERE length(letters) >= 25 GROUP BY slug, let
 """
 
 ORACLES = {
+    # all pairs that share an item, by brute force
+    "p7_found": r"""WITH v AS (SELECT id, any_value(title) AS title, any_value(location) AS location, any_value(description) AS description FROM vacancy GROUP BY id),
+        t AS (SELECT id, trim(regexp_replace(lower(coalesce(title, '') || chr(10) || coalesce(location, '') || chr(10) || description), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS t FROM v WHERE length(description) >= 200),
+        s AS (SELECT DISTINCT id, hash(substr(t, i, 8)) AS s FROM (SELECT id, t, unnest(range(1, length(t) - 6)) AS i FROM t)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+        SELECT a AS vacancy_id_a, b AS vacancy_id_b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.65 * (x.n + y.n - c)""",
     "p6_found": _REPEATED + "SELECT k.id AS vacancy_id, k.line_no FROM k JOIN f USING (slug, letters)",
     "p6_cleaned": _REPEATED + """, gone AS (SELECT k.id, k.line_no FROM k JOIN f USING (slug, letters)),
         hit AS (SELECT DISTINCT id FROM gone)
