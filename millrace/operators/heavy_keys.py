@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 
 def key_profile(df: DataFrame, key: str, item: str, updated: str) -> DataFrame:
     """Rows, distinct items, surplus copies and latest update of each key.
@@ -42,9 +44,9 @@ def combine_by_key(df: DataFrame, keys: Sequence[str], **aggregates: Column) ->
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """The keys holding at least ``share`` of all rows: ``key, n_rows``.
 
-    The total is the sum over the same per-key counts, so the table is read once. A null key is
-    counted in the total and is never returned. An empty table gives no rows.
+    The total is the sum over the same per-key counts, which are written once, so the table is read
+    once. A null key is counted in the total and is never returned. An empty table gives no rows.
     """
-    counts = combine_by_key(df, [key], n_rows=F.count(F.lit(1)))
+    counts = cut_lineage(combine_by_key(df, [key], n_rows=F.count(F.lit(1))))
     total = counts.agg(F.sum("n_rows")).scalar()
     return counts.where((F.col("n_rows") >= F.lit(share) * total) & F.col(key).isNotNull())
