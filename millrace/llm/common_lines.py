@@ -31,7 +31,7 @@ def repeated_lines(
     Plan: lines shrink to a 64-bit hash in the scan's stage, so texts are read once and never
     shuffled; the hashes are written and read by what follows. Distinct
     (board, hash, document) rows are counted by partial aggregates to (board, hash), and only those
-    counts meet the boards' sources. The lines join the frequent hashes on (board, hash), which
+    counts, written once, meet the boards' sources. The lines join the frequent hashes on (board, hash), which
     spreads the lines of one large source over all tasks.
     """
     rows = documents.select(F.col(doc).alias("_doc"), F.col(board).alias("_board"), F.col(text).alias("_text"))
@@ -47,7 +47,7 @@ def repeated_lines(
     totals = boards.groupBy("_group").agg(F.sum("_docs").alias("_total"))
     board_totals = boards.join(totals, "_group").select(F.col("_board").alias("_tboard"), "_group", "_total")
 
-    counted = lines.select("_doc", "_board", "_hash").distinct().groupBy("_board", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(lines.select("_doc", "_board", "_hash").distinct().groupBy("_board", "_hash").agg(F.count(F.lit(1)).alias("_n")))
     grouped = counted.join(board_totals, F.col("_board").eqNullSafe(F.col("_tboard"))).select("_board", "_hash", "_n", "_group", "_total")
     enough = (F.col("_all") >= least_documents) & (F.col("_all") >= F.lit(least_share) * F.col("_of"))
     keys = grouped.groupBy("_group", "_hash").agg(F.sum("_n").alias("_all"), F.max("_total").alias("_of")).where(enough).select("_group", "_hash")
