@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import by_size
+from millrace.llm.batches import by_size, decoded
 
 # ISO 639-1 codes with the English names of their languages, in natural order.
 LANGUAGE_NAMES = {
@@ -236,8 +236,7 @@ def language_segments(df: DataFrame, key: str, label: str, text: str, counts: di
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            rows = [(part.start + i, *rest) for part in by_size(texts) for i, *rest in labeller.segments(texts[part])]
+            rows = [(start + part.start + i, *rest) for start, texts in decoded(batch.column(2)) for part in by_size(texts) for i, *rest in labeller.segments(texts[part])]
             at, first, lang, sure = zip(*rows, strict=True) if rows else ((), (), (), ())
             owner = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -19,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import decoded
+
 #: Bounds of the training sample, in documents and characters, and of one document in it; it is picked by the hash of the text.
 MOST_TRAINING_DOCUMENTS, MOST_TRAINING_CHARACTERS, LONGEST_TRAINED = 4_000, 20_000_000, 50_000
+#: Surroundings of candidates whose class a model keeps.
+MOST_KNOWN = 100_000
 #: Line lengths between which a text can be one whose lines were broken at a fixed width.
 LEAST_WIDTH, MOST_WIDTH = 60, 80
 
@@ -101,6 +105,9 @@ def candidates(flow: str) -> Iterator[Candidate]:
     closes = quoted(flow) if _QUOTES.search(flow) else {}
     spans = [(o, c) for c, o in closes.items()]
     n = len(flow)
+    if not _MARKS.search(flow):
+        return
+    others = [x for x in _BLANKS[1:] if x in flow]
     for m in _MARKS.finditer(flow):
         i, j = m.span()
         run = m[0]
@@ -122,7 +129,9 @@ def candidates(flow: str) -> Iterator[Candidate]:
                 return
             if not spaces and signs:
                 continue
-        a = max(flow.rfind(x, 0, i) for x in _BLANKS) + 1
+        a = flow.rfind(" ", 0, i) + 1
+        for blank in others:
+            a = max(a, flow.rfind(blank, a, i) + 1)
         before = flow[a:i].lstrip(OPENERS)
         kind = EXCLAIM if any(c in STRONG for c in run) else STOP if any(c in FULL for c in run) else PERIOD if run == "." else ELLIPSIS
         case = _case(word[0]) if word else "n"
@@ -202,6 +211,7 @@ class Model:
     rates: tuple[float, float, float] = (0.25, 0.05, 0.2)
     weights: list[float] = field(default_factory=list)
     breaks: np.ndarray | None = None
+    known: dict = field(default_factory=dict, repr=False)
 
     def features(self, c: Candidate) -> list[float]:
         ends, small, leads = self.rates
@@ -219,7 +229,14 @@ class Model:
         ]
 
     def ends(self, c: Candidate) -> bool:
-        return sum(w * x for w, x in zip(self.weights, self.features(c), strict=True) if x) > 0
+        """Whether a sentence ends there; what was found of equal surroundings is kept for the next time."""
+        key = (c.kind, c.before, c.after, c.case, c.spaced, c.opened, c.closed)
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
+            found = self.known[key] = sum(w * x for w, x in zip(self.weights, self.features(c), strict=True) if x) > 0
+        return found
 
 
 def _token(before: str) -> str:
@@ -393,7 +410,7 @@ def sentence_units(df: DataFrame, key: str, text: str, model: Model) -> DataFram
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [units_of(body, shared.value) for body in batch.column(1).to_pylist()]
+            found = [units_of(body, shared.value) for _, texts in decoded(batch.column(1)) for body in texts]
             owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
             ends = np.array([x for units in found for x in units], np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["_key", "start_at", "end_at"])

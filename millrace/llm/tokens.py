@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import by_size
+from millrace.llm.batches import by_size, decoded
 
 #: Where the vocabulary files are, and the one that sizes are counted in.
 VOCABULARIES = os.environ.get("MILLRACE_VOCABULARIES", "/opt/tokenizers")
@@ -56,9 +56,11 @@ def sized_texts(df: DataFrame, key: str, source: str, text: str, path: str | Non
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            sizes = [n for part in by_size(texts) for n in counter(texts[part])]
-            digests = [int.from_bytes(hashlib.blake2b(" ".join(t.lower().split()).encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
+            sizes, digests = [], []
+            for _, bodies in decoded(batch.column(2)):
+                texts = [t or "" for t in bodies]
+                sizes += [n for part in by_size(texts) for n in counter(texts[part])]
+                digests += [int.from_bytes(hashlib.blake2b(" ".join(t.lower().split()).encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], names=["_key", "_source", "n_tokens", "cluster"])
 
     narrow = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"))

@@ -1,10 +1,12 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millrace.llm.batches import decoded
 from millrace.llm.sentences import Model, candidates, flows_of, quoted, sentence_units, train, units_of
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
@@ -89,3 +91,13 @@ def test_frame(spark, model):
 def test_training_on_nothing():
     assert units_of("One. Two.", train([])) == units_of("One. Two.", train(["", " "]))
     assert units_of("One is fine. Two is too.", train([])) == [(0, 12), (13, 24)]
+
+
+def test_decoded_slices_are_the_column():
+    texts = ["a" * 5, None, "", "bc" * 40, "é", "x" * 9] * 3
+    column = pa.array(texts)
+    for most in (1, 10, 1000):
+        slices = list(decoded(column.slice(1), most))
+        assert [t for _, part in slices for t in part] == texts[1:] and [s for s, _ in slices] == [sum(len(p) for _, p in slices[:i]) for i in range(len(slices))]
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= most for _, p in slices)
+    assert list(decoded(pa.array([], pa.string()))) == []
