@@ -30,6 +30,16 @@ def board_slug(url: Column, hosts: str, slug: str = r"[a-z0-9][a-z0-9._-]*") ->
     return F.when(named.rlike(f"^{slug}$"), named)
 
 
+def site_board(url: Column) -> Column:
+    """``tenant, cell, site`` of an address tenant.cell.host/site, with or without a locale before the site; null for others.
+
+    A cell is a word with a number; the host has two labels or more.
+    """
+    pattern = r"(?i)^https://([a-z0-9-]+)\.([a-z]+[0-9]+)\.[a-z0-9-]+(?:\.[a-z0-9-]+)+/(?:[a-z]{2}(?:-[a-z]{2})?/)?([a-z0-9][a-z0-9._-]*)(?:[/?#]|$)"
+    tenant, cell, site = (F.regexp_extract(url, pattern, i) for i in (1, 2, 3))
+    return F.when(url.rlike(pattern), F.struct(F.lower(tenant).alias("tenant"), F.lower(cell).alias("cell"), site.alias("site")))
+
+
 def board_region(url: Column) -> Column:
     """EU for hosts with a label eu, else US; null for what isn't an https address."""
     host = F.lower(F.regexp_extract(url, r"(?i)^https://([^/?#]+)", 1))

@@ -28,7 +28,9 @@ def _sentences(text: str) -> list[str]:
     return [x.strip() for x in out if x.strip()]
 
 
-def _heading(text: str) -> bool:
+def _heading(text: str, phrases: frozenset[str]) -> bool:
+    if text.lower().rstrip(": ") in phrases:
+        return True
     if len(text) > 60 or re.search(r"[.!?;,]\s*$", text):
         return False
     words = re.findall(r"\w+", text.lower())
@@ -36,13 +38,21 @@ def _heading(text: str) -> bool:
     return text.rstrip().endswith(":") or (text.isupper() and letters >= 4) or bool(words and len(words) <= 4 and (words[0] in _NOUNS or words[-1] in _NOUNS))
 
 
-def split_segments(text: str | None) -> list[tuple[str, str | None, str, bool]]:
+def _guessed(text: str, starts: tuple[str, ...]) -> list[str]:
+    """A text cut before each of ``starts`` that follows a small letter, a digit or a closing bracket."""
+    return re.split(rf"(?<=[^\W_A-Z])\s+(?=(?:{'|'.join(map(re.escape, starts))})\b)|(?<=\))\s+(?=(?:{'|'.join(map(re.escape, starts))})\b)", text) if starts else [text]
+
+
+def split_segments(text: str | None, phrases: frozenset[str] = frozenset(), starts: tuple[str, ...] = ()) -> list[tuple[str, str | None, str, bool]]:
     """Rows (kind, heading above, text, boilerplate) of a text with marked lines.
 
     A line may begin with ``> `` (boilerplate) and then ``# `` (heading) or ``- `` (item); unmarked
     lines are bulleted or numbered items, headings by their looks, or sentences. A heading holds for
-    what follows until the next one, or until boilerplate begins or ends.
+    what follows until the next one, or until boilerplate begins or ends. ``phrases`` are headings by
+    themselves (in lower case). In a text of one line, sentences that hold items run together are cut
+    before the words of ``starts``: what follows the first cut are items.
     """
+    one_line = len([x for x in (text or "").splitlines() if x.strip()]) == 1
     out: list[tuple[str, str | None, str, bool]] = []
     under, was = None, False
     for line in (text or "").splitlines():
@@ -64,24 +74,27 @@ def split_segments(text: str | None) -> list[tuple[str, str | None, str, bool]]:
             continue
         first, *items = _INLINE.split(body)
         first = first.strip()
-        if _heading(first):
+        if _heading(first, phrases):
             under = first
             out.append(("HEADING", None, first, boiler))
         else:
-            out += [("SENTENCE", under, s, boiler) for s in _sentences(first)]
+            for sentence in _sentences(first):
+                whole, *run_on = _guessed(sentence, starts if one_line else ())
+                out.append(("SENTENCE", under, whole, boiler))
+                out += [("ITEM", under, x, boiler) for x in run_on]
         out += [("ITEM", under, x.strip(), boiler) for x in items if x.strip()]
     return out
 
 
-@F.pandas_udf(SEGMENTS)
-def _segments(texts: pd.Series) -> pd.Series:
-    names = ("kind", "under", "text", "boilerplate")
-    return texts.map(lambda t: [dict(zip(names, row, strict=True)) for row in split_segments(t)])
+def segments(text: Column, phrases: frozenset[str] = frozenset(), starts: tuple[str, ...] = ()) -> Column:
+    """The segments of a text as an array of structs, as ``split_segments`` has them; of a null text, none."""
 
+    @F.pandas_udf(SEGMENTS)
+    def split(texts: pd.Series) -> pd.Series:
+        names = ("kind", "under", "text", "boilerplate")
+        return texts.map(lambda t: [dict(zip(names, row, strict=True)) for row in split_segments(t, phrases, starts)])
 
-def segments(text: Column) -> Column:
-    """The segments of a text as an array of structs; of a null text, none."""
-    return _segments(text)
+    return split(text)
 
 
 def marked(segment: Column) -> Column:

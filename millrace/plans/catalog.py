@@ -1,6 +1,7 @@
 """All queries of the core and their SQL."""
 
-from millrace.plans import derived, found, records, scored, texts
+from millrace.plans import derived, found, records, round_trips, scored, texts
 
-QUERIES = {**found.QUERIES, **texts.QUERIES, **records.QUERIES, **derived.QUERIES, **scored.QUERIES}
-ORACLES = {**found.ORACLES, **texts.ORACLES, **records.ORACLES, **derived.ORACLES, **scored.ORACLES}
+_MODULES = (found, texts, records, derived, scored, round_trips)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -10,6 +10,8 @@ from millrace.functions.numbers import match_score, wilson
 from millrace.functions.text import bag_of_words, clean_title
 from millrace.operators.names import first_mentions, name_candidates, word_evidence, words_nearby
 from millrace.operators.sampling import label_differences
+from millrace.operators.title_tags import normalised_titles, roles_of
+from millrace.plans.scored import VOCABULARY
 from millrace.sources.tables import table
 
 
@@ -23,10 +25,11 @@ def title_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def role_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Openings by role, those without one included."""
+    """Openings by the roles of their titles, those without one included; an opening of two roles counts for both."""
     heads = {"engineer": "engineering", "developer": "engineering", "architect": "architecture", "designer": "design", "analyst": "analysis", "manager": "management", "specialist": "operations", "technician": "operations"}
-    role = T.role_of(T.normal_title(F.col("title")), {"data analyst": "data"}, heads)
-    return _once(spark, d, "title").groupBy(F.coalesce(role, F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    titles = normalised_titles(_once(spark, d, "title"), "title", VOCABULARY)
+    roles = roles_of(F.col("titles"), {"data analyst": "data"}, heads)
+    return titles.select(F.explode_outer(roles).alias("role")).groupBy(F.coalesce("role", F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def years_of_experience(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import haversine_km, rate, wilson
@@ -12,6 +12,7 @@ from millrace.operators.duplicates import exact_duplicates
 from millrace.operators.nearness import group_nearness
 from millrace.operators.snapshots import plain_key
 from millrace.session import cut_lineage
+from millrace.sources.boards import declared_locations as board_locations
 from millrace.sources.tables import table
 
 COMPARED = ["title", "location", "department", "pay_min_cents", "description_hash"]
@@ -100,10 +101,16 @@ def supported_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def declared_locations(spark: SparkSession, d: str) -> DataFrame:
+    """All places an opening declares: its location, the secondary ones, and what else its location list has."""
     rows = table(spark, d, "normalized_vacancy_location", "normalized_vacancy_id", "list_name", "pos", "location").where("trim(location) <> ''")
-    rank = F.when(F.col("list_name") == "LOCATION", 0).otherwise(1)
-    order = F.array_sort(F.collect_list(F.struct(rank.alias("r"), "pos", "location")))
-    return rows.groupBy("normalized_vacancy_id").agg(F.array_join(F.transform(order, lambda x: x["location"]), " | ").alias("locations"))
+
+    def of(kind: str) -> Column:
+        held = F.array_sort(F.collect_list(F.when(F.col("list_name") == kind, F.struct("pos", "location"))))
+        return F.transform(held, lambda x: x["location"])
+
+    lists = rows.groupBy("normalized_vacancy_id").agg(of("LOCATION").alias("own"), of("SECONDARY_LOCATIONS").alias("secondary"))
+    every = board_locations(F.get("own", F.lit(0)), F.col("secondary"), F.col("own"))
+    return lists.select("normalized_vacancy_id", F.array_join(every, " | ").alias("locations"))
 
 
 def work_modes(spark: SparkSession, d: str) -> DataFrame:
@@ -264,8 +271,8 @@ ORACLES = {
     "regions_by_url": "SELECT id, region FROM company WHERE id IN (SELECT company_id FROM vacancy WHERE regexp_matches(url, '^https://[^/]*ashby'))",
     "after_page": "SELECT id, slug FROM company WHERE slug > 'm' ORDER BY slug, id LIMIT 50",
     "supported_scope": "SELECT language, count(DISTINCT id) AS n FROM vacancy WHERE language IS NULL OR lower(language) IN ('en', 'es') GROUP BY 1",
-    "declared_locations": """SELECT normalized_vacancy_id, string_agg(location, ' | ' ORDER BY (list_name <> 'LOCATION'), pos, location) AS locations
-        FROM normalized_vacancy_location WHERE trim(location) <> '' GROUP BY 1""",
+    "declared_locations": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY normalized_vacancy_id, list_name ORDER BY pos) AS n FROM normalized_vacancy_location WHERE trim(location) <> '')
+        SELECT normalized_vacancy_id, string_agg(location, ' | ' ORDER BY CASE WHEN list_name <> 'LOCATION' THEN 1 WHEN n = 1 THEN 0 ELSE 2 END, pos, location) AS locations FROM l GROUP BY 1""",
     "work_modes": """SELECT v.ats, m.mode, count(*) AS n FROM (SELECT vacancy_id, unnest(CASE WHEN work_modes IS NULL THEN ['NOT_RUN'] WHEN len(work_modes) = 0 THEN ['NONE'] ELSE work_modes END) AS mode FROM normalized_vacancy) m
         JOIN (SELECT DISTINCT id, ats FROM vacancy) v ON v.id = m.vacancy_id GROUP BY 1, 2""",
     "seniority_tally": """SELECT named, by_years, count(*) AS n FROM (SELECT coalesce(seniority_level, '-') AS named,

@@ -92,9 +92,13 @@ def one_line_sentences(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", F.size(T.simple_sentences(F.col("line"))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_sentences"))
 
 
+# Fixed values of the demonstration: headings, and words that items begin with.
+HEADINGS, ITEM_STARTS = frozenset({"what we offer", "who you are", "how to apply"}), ("You", "We", "Our", "Experience", "Ability", "Knowledge")
+
+
 def description_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments of descriptions with the heading above and the kind of the next one."""
-    rows = _once(spark, d, "description").withColumn("all", seg.segments(F.col("description")))
+    rows = _once(spark, d, "description").withColumn("all", seg.segments(F.col("description"), HEADINGS, ITEM_STARTS))
     each = rows.select("id", "all", F.posexplode("all").alias("pos", "s"))
     return each.select("id", "pos", "s.kind", "s.under", "s.boilerplate", F.md5(seg.marked(F.col("s")).cast("binary")).alias("digest"), seg.neighbour(F.col("all"), F.col("pos"), 1)["kind"].alias("next_kind"))
 

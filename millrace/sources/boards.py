@@ -100,6 +100,15 @@ def details_wanted(listed: DataFrame, held: DataFrame, wanted: Column, key: str
     return listed.where(wanted).join(held.select(key, "title"), [key, "title"], "left_anti")
 
 
+def probed(answers: DataFrame, list_path: str = "$.jobs", name_path: str = "$.name") -> DataFrame:
+    """``company_id, status, name`` of boards' answers (``company_id, code, body``); the name is null unless the board gives one.
+
+    A body that doesn't parse tells neither.
+    """
+    held = F.json_array_length(F.get_json_object("body", list_path))
+    return answers.select("company_id", board_status(F.col("code"), held).alias("status"), F.when(F.col("code") == 200, F.nullif(F.trim(F.get_json_object("body", name_path)), F.lit(""))).alias("name"))
+
+
 def board_status(code: Column, n_openings: Column) -> Column:
     """What a board's answer tells: NOT_FOUND, EMPTY, ACTIVE, or null where it can't be read."""
     return F.when(code == 404, "NOT_FOUND").when(code != 200, None).when(n_openings > 0, "ACTIVE").when(n_openings == 0, "EMPTY")

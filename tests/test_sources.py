@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.urls import site_board
 from millrace.sources import archives, boards, exports, lists
 from millrace.streaming.mirrors import follow_snapshots, sessions, windowed
 
@@ -115,3 +116,12 @@ def test_capped_listings(spark):
     assert [r.external_id for r in boards.details_wanted(listed, held, F.col("state") == "IN").collect()] == ["2"]
     answers = spark.createDataFrame([(404, None), (200, 3), (200, 0), (500, None)], "c int, n int")
     assert [r[0] for r in answers.select(boards.board_status(F.col("c"), F.col("n"))).collect()] == ["NOT_FOUND", "ACTIVE", "EMPTY", None]
+
+
+def test_probe_answers_and_site_addresses(spark):
+    answers = [(1, 200, '{"name": " Olm ", "jobs": [{}]}'), (2, 200, '{"jobs": []}'), (3, 404, "gone"), (4, 500, None), (5, 200, "no json")]
+    found = boards.probed(spark.createDataFrame(answers, "company_id int, code int, body string"))
+    assert rows(found) == [(1, "ACTIVE", "Olm"), (2, "EMPTY", None), (3, "NOT_FOUND", None), (4, None, None), (5, None, None)]
+    urls = ["https://olm.wd5.board.example/en-US/Careers/job/1", "https://OLM.wd5.board.example/Careers", "https://olm.board.example/x", "http://olm.wd5.board.example/a", None]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(site_board(F.col("u")).alias("s")).collect()
+    assert [tuple(r.s) if r.s else None for r in got] == [("olm", "wd5", "Careers"), ("olm", "wd5", "Careers"), None, None, None]

@@ -136,3 +136,18 @@ def test_small_text_rules(spark):
     assert [one(spark, x, lambda c: T.first_reason(c, reasons)) for x in ("the salary, and too far", "too far and no pay", "none", None)] == ["pay", "far", None, None]
     row = spark.range(1).select(match_score(F.lit(4), F.lit(5), F.lit(1), F.lit(False)), match_score(F.lit(0), F.lit(0), F.lit(0), F.lit(False)), match_score(F.lit(1), F.lit(4), F.lit(None).cast("int"), F.lit(True)), coin(F.lit(1), 2).isNotNull()).first()
     assert tuple(row) == (65.0, 0.0, 5.0, True)
+
+
+def test_headings_and_run_on_items_as_parameters():
+    assert [x[0] for x in split_segments("How we do it all here\nWork.", frozenset({"how we do it all here"}))] == ["HEADING", "SENTENCE"]
+    found = split_segments("We build it You own it (all) You ship it. The end You", starts=("You",))
+    assert [(k, t) for k, _, t, _ in found] == [("SENTENCE", "We build it"), ("ITEM", "You own it (all)"), ("ITEM", "You ship it."), ("SENTENCE", "The end"), ("ITEM", "You")]
+    assert len(split_segments("a You b\nc You d", starts=("You",))) == 2
+
+
+def test_function_words_tell_labelled_texts(spark):
+    named = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('de', 'en', 'es', 'fr', 'it', 'nl', 'pl', 'pt') and length(text) > 300")
+    right, judged = named.select((T.word_language(F.col("text")) == F.col("lang")).cast("int").alias("r")).agg(F.sum("r"), F.count("r")).first()
+    assert right / judged > 0.95 and judged > 500
+    for lang, text in {"sv": "Vi är ett lag och du har inte mycket tid utan oss", "da": "Vi er et hold og du har ikke meget tid uden os efter at", "no": "Vi er et lag og du har ikke mye tid uten oss mellom", "fi": "Se on hyvä ja me olemme kanssa kun hän ei ole tämä"}.items():
+        assert one(spark, text, T.word_language) == lang
