@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import titles as T
 from millrace.functions.numbers import match_score, wilson
-from millrace.functions.text import bag_of_words, clean_title
+from millrace.functions.text import clean_title
 from millrace.operators.names import first_mentions, name_candidates, word_evidence, words_nearby
 from millrace.operators.sampling import label_differences
 from millrace.operators.title_tags import normalised_titles, roles_of
@@ -66,16 +66,6 @@ def title_profiles(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("rank", rank).where("rank <= 3")
 
 
-def title_fragments(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of titles with the same last word and all but one word in common."""
-    bag = F.array_sort(F.array_distinct(F.split(bag_of_words(F.col("title")), " ")))
-    t = _once(spark, d, "title").where("trim(title) <> ''").select(F.lower(F.trim("title")).alias("title")).distinct().withColumn("words", bag).withColumn("last", F.element_at(F.split("title", r"\s+"), -1)).where("size(words) >= 4")
-    # a word left out of either title leaves equal rests
-    rests = t.select("title", "last", "words", F.explode("words").alias("w")).select("title", "last", F.array_join(F.array_remove("words", F.col("w")), " ").alias("rest"))
-    a, b = rests.alias("a"), rests.alias("b")
-    return a.join(b, (F.col("a.rest") == F.col("b.rest")) & (F.col("a.last") == F.col("b.last")) & (F.col("a.title") < F.col("b.title"))).select(F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b")).distinct()
-
-
 def level_series(spark: SparkSession, d: str) -> DataFrame:
     """Share of each level within a source, with its interval; cells below ten are left blank."""
     nv = table(spark, d, "normalized_vacancy", "vacancy_id", "seniority_level").where("seniority_level is not null")
@@ -137,7 +127,7 @@ def match_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    title_breakdown, role_assignment, years_of_experience, levels, mode_evidence, title_coverage, title_profiles, title_fragments, level_series,
+    title_breakdown, role_assignment, years_of_experience, levels, mode_evidence, title_coverage, title_profiles, level_series,
     new_names, near_words, first_named, mode_always_known, value_latency, top_departments, level_differences, match_scores,
 )}
 

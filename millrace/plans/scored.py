@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import profiles as profiled
 from millrace.operators import scopes, scores
 from millrace.operators.phrases import extract_from_segments
 from millrace.operators.segments import segments
@@ -112,8 +113,40 @@ def composed_titles(spark: SparkSession, d: str) -> DataFrame:
     return normalised_titles(rows, "title", VOCABULARY).select("id", F.explode_outer("titles").alias("composed")).groupBy("composed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    words = F.array_distinct(F.split(F.lower(F.trim("title")), r"[^\p{L}]+"))
+    return table(spark, d, "vacancy", "id", "department", "title").select("id", "department", F.explode(words).alias("word")).where("word <> ''")
+
+
+def department_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each department, and of its openings on each level."""
+    nv = table(spark, d, "normalized_vacancy", F.col("vacancy_id").alias("id"), "seniority_level")
+    rows = table(spark, d, "vacancy", "id", "department").distinct().join(nv, "id", "left")
+    profiles = profiled.group_shares(rows, "department", "id", "seniority_level")
+    levels = F.transform(F.array_sort(F.map_entries("levels")), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 4)))
+    return profiles.select("department", "n", F.round("share", 6).alias("share"), F.array_join(levels, ",").alias("levels"))
+
+
+def department_items(spark: SparkSession, d: str) -> DataFrame:
+    """The title words that set each department apart."""
+    found = profiled.distinctive_items(_words(spark, d), "department", "id", "word", 0.02, 8)
+    return found.select("department", "word", F.round("share", 6).alias("share"), F.round("lift", 6).alias("lift"), "rank")
+
+
+def department_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return profiled.nearest_groups(_words(spark, d), "department", "id", "word", 3).withColumn("nearness", F.round("nearness", 6))
+
+
+def title_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Titles (their first parts) of four openings or more that end alike and whose descriptions use the same words."""
+    rows = table(spark, d, "vacancy", "id", "title", "description").dropDuplicates(["id"])
+    words = F.array_distinct(F.regexp_extract_all(F.lower("description"), F.lit(r"\p{L}{4,}"), F.lit(0)))
+    mentions = rows.select("id", F.get(T.title_parts(F.lower("title")), F.lit(0)).alias("title"), F.explode(words).alias("word"))
+    return profiled.fragments(mentions, "title", "id", "word", 0.15, 4).withColumn("nearness", F.round("nearness", 6))
+
+
 QUERIES = {f.__name__: f for f in (
-    scoped_openings, declared_modes, openings_by_modes, hidden_openings, snapshot_agreement, remote_reach, mode_sets, mode_ceilings, location_tallies, location_residue, topics_in_segments, composed_titles,
+    department_profiles, department_items, department_nearest, title_fragments, scoped_openings, declared_modes, openings_by_modes, hidden_openings, snapshot_agreement, remote_reach, mode_sets, mode_ceilings, location_tallies, location_residue, topics_in_segments, composed_titles,
 )}
 
 _ONCE = "SELECT id, any_value(ats) AS ats, any_value(title) AS title, any_value(location) AS location, any_value(workplace_type) AS workplace_type, any_value(commitment) AS commitment, any_value(language) AS language, any_value(description) AS description, any_value(first_published_at) AS published FROM vacancy GROUP BY id"
@@ -136,7 +169,23 @@ def _scoped() -> str:
         SELECT state, reason, state = 'IN' OR coalesce(reason IN ('DOMAIN_AMBIGUITY', 'SCOPE_AMBIGUITY') AND (lower(language) IN ('en', 'es') OR language IS NULL AND coalesce(NOT other, true)), false) AS in_scope, count(*) AS n FROM r GROUP BY ALL"""
 
 
+_WORDS = r"""WITH m AS (SELECT DISTINCT department AS g, id AS m, unnest(string_split_regex(lower(trim(title)), '[^\p{L}]+')) AS i FROM vacancy WHERE department IS NOT NULL), p AS (SELECT * FROM m WHERE i <> '')"""
+_NEAR = """, n AS (SELECT g, count(DISTINCT m) AS n FROM p GROUP BY g), d AS (SELECT i, count(DISTINCT m) AS df FROM p GROUP BY i),
+        w AS (SELECT p.g, p.i, count(*) / any_value(n.n)::DOUBLE * ln((SELECT count(DISTINCT m) FROM p) / any_value(d.df)::DOUBLE) AS w FROM p JOIN n USING (g) JOIN d USING (i) GROUP BY p.g, p.i),
+        u AS (SELECT g, i, w / sqrt(sum(w * w) OVER (PARTITION BY g)) AS u FROM w WHERE w > 0), x AS (SELECT DISTINCT g FROM u),
+        c AS (SELECT a.g AS a, b.g AS b, coalesce(sum(s.u * t.u), 0) AS c FROM x a JOIN x b ON a.g <> b.g LEFT JOIN u s ON s.g = a.g LEFT JOIN u t ON t.g = b.g AND t.i = s.i GROUP BY a.g, b.g)"""
+
 ORACLES = {
+    "department_profiles": """WITH e AS (SELECT v.department AS g, v.id AS m, min(n.seniority_level) AS l FROM (SELECT DISTINCT id, department FROM vacancy) v LEFT JOIN normalized_vacancy n ON n.vacancy_id = v.id WHERE v.department IS NOT NULL GROUP BY ALL),
+        c AS (SELECT g, coalesce(l, 'none') AS l, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT g, sum(n) AS n FROM c GROUP BY g)
+        SELECT g AS department, t.n::BIGINT AS n, round(t.n / (SELECT sum(n) FROM t)::DOUBLE, 6) AS share, string_agg(l || '=' || printf('%.4f', c.n / t.n::DOUBLE), ',' ORDER BY l) AS levels FROM c JOIN t USING (g) GROUP BY g, t.n""",
+    "department_items": _WORDS + """, n AS (SELECT g, count(DISTINCT m) AS n FROM p GROUP BY g), o AS (SELECT i, count(DISTINCT m) / (SELECT count(DISTINCT m) FROM p)::DOUBLE AS s FROM p GROUP BY i),
+        k AS (SELECT p.g, p.i, count(*) / any_value(n.n)::DOUBLE AS share FROM p JOIN n USING (g) GROUP BY p.g, p.i), l AS (SELECT g, i, share, share / s AS lift FROM k JOIN o USING (i) WHERE share >= 0.02)
+        SELECT g AS department, i AS word, round(share, 6) AS share, round(lift, 6) AS lift, row_number() OVER (PARTITION BY g ORDER BY round(lift, 9) DESC, i)::INT AS rank FROM l QUALIFY rank <= 8""",
+    "department_nearest": _WORDS + _NEAR + " SELECT a AS department, b AS near_department, round(c, 6) AS nearness, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b)::INT AS rank FROM c QUALIFY rank <= 3",
+    "title_fragments": r"""WITH v AS (SELECT id, list_filter(list_transform(string_split_regex(lower(any_value(title)), '[,;|()\[\]{}:]|\s[-–—]\s'), lambda x: trim(x)), lambda x: x <> '')[1] AS title, any_value(description) AS description FROM vacancy GROUP BY id), q AS (SELECT title FROM v WHERE description IS NOT NULL AND length(regexp_extract(lower(description), '\p{L}{4,}')) > 0 GROUP BY title HAVING count(*) >= 4),
+        p AS (SELECT DISTINCT title AS g, id AS m, unnest(regexp_extract_all(lower(description), '\p{L}{4,}')) AS i FROM v JOIN q USING (title))""" + _NEAR + r"""
+        SELECT a AS title, b AS near_title, round(c, 6) AS nearness FROM c WHERE a < b AND c >= 0.15 AND regexp_extract(a, '\S+$') = regexp_extract(b, '\S+$')""",
     "scoped_openings": _scoped(),
     "declared_modes": f"SELECT ats, CASE WHEN ats IN ('ASHBY', 'LEVER') THEN workplace_type WHEN ats = 'GREENHOUSE' THEN commitment END AS declared, count(*) AS n FROM ({_ONCE}) GROUP BY ALL",
     "openings_by_modes": f"""SELECT n.id, n.vacancy_id, CASE WHEN work_modes IS NULL THEN 0 ELSE len(list_distinct(list_filter(work_modes, lambda m: m IN ('REMOTE', 'HYBRID')))) END::INT AS n_met

@@ -3,7 +3,7 @@ from datetime import datetime as D
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import scopes, scores
+from millrace.operators import profiles, scopes, scores
 from millrace.operators.phrases import Entry, extract_from_segments
 from millrace.operators.segments import segments
 from millrace.operators.title_tags import AREA, HEAD, KIND, NOISE, RANK, Vocabulary, normalised_titles, roles_of, titles_of
@@ -90,3 +90,16 @@ def test_extraction_over_title_and_segments(spark):
     df = spark.createDataFrame([(1, "JavaScript\nlead", "# Role\n- c++ and javascript\n> javascript here\nC++"), (2, None, None), (3, "c++", "> c++"), (1, "JavaScript\nlead", "# Role\n- c++ and javascript\n> javascript here\nC++")], "id int, title string, body string")
     found = extract_from_segments(df.withColumn("s", segments(F.col("body"))), "id", "title", "s", entries).collect()
     assert sorted((r.id, r.entry, r.segments) for r in found) == [(1, "c", [1, 3]), (1, "js", [-1, 1]), (3, "c", [-1])]
+
+
+def test_profiles(spark):
+    rows_ = spark.createDataFrame([("a", 1, "X"), ("a", 1, "X"), ("a", 2, None), ("b", 3, "Y"), (None, 4, "Y"), ("b", None, "Y")], "g string, m int, l string")
+    found = {r.g: (r.n, round(r.share, 3), r.levels) for r in profiles.group_shares(rows_, "g", "m", "l").collect()}
+    assert found == {"a": (2, 0.667, {"X": 0.5, "none": 0.5}), "b": (1, 0.333, {"Y": 1.0})}
+    mentions = spark.createDataFrame([("dev lead", 1, "x"), ("dev lead", 2, "x"), ("dev lead", 2, "y"), ("ops lead", 3, "x"), ("ops lead", 3, "y"), ("cook", 4, "z"), ("ops", 5, "z"), (None, 6, "z"), ("cook", None, "z")], "g string, m int, i string")
+    items = profiles.distinctive_items(mentions, "g", "m", "i", 0.6, 1).collect()
+    assert {r.g: (r.i, round(r.lift, 3)) for r in items} == {"dev lead": ("x", 1.667), "ops lead": ("y", 2.5), "cook": ("z", 2.5), "ops": ("z", 2.5)}
+    near = {r.g: r.near_g for r in profiles.nearest_groups(mentions, "g", "m", "i", 1).collect()}
+    assert near == {"dev lead": "ops lead", "ops lead": "dev lead", "cook": "ops", "ops": "cook"}
+    assert [(r.g, r.near_g) for r in profiles.fragments(mentions, "g", "m", "i", 0.5, 1).collect()] == [("dev lead", "ops lead")]
+    assert profiles.fragments(mentions, "g", "m", "i", 0.5, 9).count() == 0 and profiles.group_shares(rows_.limit(0), "g", "m", "l").count() == 0
