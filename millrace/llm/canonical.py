@@ -26,6 +26,8 @@ from millrace.session import cut_lineage, rows_within
 
 #: Edits allowed of a name, from what length one is, and from what length all are.
 MOST_EDITS, LEAST_LENGTH, SECOND_EDIT = 2, 4, 6
+#: Names in a leaf of a tree.
+BUCKET = 32
 #: Names of broadcast trees; a longer reference list goes by shards of this many.
 MOST_NAMES = 50_000
 #: Names looked up in a shard by one task.
@@ -90,35 +92,52 @@ def edit_distance(a: str, b: str) -> int:
 
 @dataclass
 class Tree:
-    """A BK-tree of names of one length."""
+    """A BK-tree of names of one length, whose leaves are buckets of up to ``BUCKET`` names.
 
-    nodes: list[tuple[str, dict[int, int]]] = field(default_factory=list)
+    A node is a name with its children by distance, or a bucket, which has no name of its own.
+    """
+
+    nodes: list[tuple[str | None, dict[int, int], list[str]]] = field(default_factory=list)
 
     def add(self, name: str) -> None:
+        if not self.nodes:
+            self.nodes.append((None, {}, []))
         at = 0
-        while self.nodes:
-            word, children = self.nodes[at]
+        while self.nodes[at][0] is not None:
+            word, children, _ = self.nodes[at]
             d = edit_distance(name, word)
             if d == 0:
                 return
-            if d not in children:
-                children[d] = len(self.nodes)
-                break
-            at = children[d]
-        self.nodes.append((name, {}))
+            at = self._child(children, d)
+        bucket = self.nodes[at][2]
+        if name in bucket:
+            return
+        bucket.append(name)
+        if len(bucket) > BUCKET:
+            self.nodes[at] = (bucket[0], {}, [])
+            for other in bucket[1:]:
+                self.nodes[self._child(self.nodes[at][1], edit_distance(bucket[0], other))][2].append(other)
+
+    def _child(self, children: dict[int, int], d: int) -> int:
+        if d not in children:
+            children[d] = len(self.nodes)
+            self.nodes.append((None, {}, []))
+        return children[d]
 
     def within(self, name: str, most: int) -> list[tuple[int, str]]:
         """All (distance, name) with a distance of at most ``most``."""
         found, stack, letters = [], [0] if self.nodes else [], set(name)
         while stack:
-            word, children = self.nodes[stack.pop()]
-            # each letter that only one of two words has takes an edit; below a leaf nothing is left to prune
-            if not children and len(letters.difference(word)) > most:
-                continue
-            d = edit_distance(name, word)
-            if d <= most:
-                found.append((d, word))
-            if children:
+            word, children, bucket = self.nodes[stack.pop()]
+            for other in bucket:  # each letter that only one of two words has takes an edit
+                if len(letters.difference(other)) <= most and len(set(other).difference(letters)) <= most:
+                    d = edit_distance(name, other)
+                    if d <= most:
+                        found.append((d, other))
+            if word is not None:
+                d = edit_distance(name, word)
+                if d <= most:
+                    found.append((d, word))
                 low, high = d - most, d + most
                 stack += [child for far, child in children.items() if low <= far <= high]
         return found
